@@ -211,7 +211,7 @@ def slice_rows(t):
     return t.events.select("event_id", "user_id").slice(20, 30)
 
 
-@query("with e as (select *, row_number() over (order by event_id) - 1 as p from events) select event_id, user_id from (values (5), (2), (5), (-1)) v(at) left join e on p = at")
+@query("with e as (select *, row_number() over (order by event_id) - 1 as p from events) select event_id, user_id from (values (5), (2), (5), (-1)) v(k) left join e on p = k")
 def take_positions(t):
     return t.events.select("event_id", "user_id").take([5, 2, 5, -1])
 
