@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from typing import TYPE_CHECKING, Any
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -735,8 +736,6 @@ def _all(cs: list[Column]) -> Column:
 
 
 def _column_udf(fn: Callable, returns: str):
-    import pandas as pd
-
     def f(s: pd.Series) -> float:
         return fn([None if pd.isna(v) else v for v in s.tolist()])
 

@@ -102,7 +102,7 @@ def test_queries(people, text, names):
     assert [r[0] for r in people.query(text).select("name").rows()] == names
 
 
-@pytest.mark.parametrize("text", ["", "age >", "age", "age > 1 > 2", "foo(age)", "age in 3", "age ** 2 > 1", "'a'", "age > 1 or", "name.str.upper('x')", "(age", "age > @x", "`age` > 1"])
+@pytest.mark.parametrize("text", ["", "age >", "age + 1", "age > 1 > 2", "foo(age)", "age in 3", "age ** 2 > 1", "'a'", "age > 1 or", "name.str.upper('x')", "(age", "age > @x", "`age` > 1"])
 def test_bad_queries_are_refused(people, text):
     with pytest.raises((errors.ParseError, errors.TypeMismatch)):
         people.query(text)
@@ -218,8 +218,8 @@ def test_series_windows(spark):
     for how in ("cumsum", "cumprod", "cummin", "cummax"):
         assert getattr(s, how)().values() == clean(getattr(p, how)())
     for method in ("average", "min", "max", "first", "dense"):
-        assert s.rank(method).values() == clean(p.rank(method)), method
-        assert s.rank(method, ascending=False).values() == clean(p.rank(method, ascending=False)), method
+        assert s.rank(method).values() == clean(p.rank(method=method)), method
+        assert s.rank(method, ascending=False).values() == clean(p.rank(method=method, ascending=False)), method
     for how in ("sum", "mean", "min", "max", "std", "var", "median", "count"):
         assert s.rolling(3, min_periods=2).agg(how).col("value").values() == clean(getattr(p.rolling(3, min_periods=2), how)()), how
         assert s.expanding().agg(how).col("value").values() == clean(getattr(p.expanding(), how)()), how
