@@ -1,22 +1,30 @@
-"""SentencePiece encoding by a relational lattice over the distinct words, and decoding. DataFrame functions only.
+"""SentencePiece encoding by a relational lattice over the distinct words, and decoding.
 
-Distinct words are exploded into substrings no longer than the longest piece, an equi-join with the piece table
-leaves the lattice's edges, edges are grouped by word, and a Viterbi fold over the positions picks the segmentation
-with the best sum of piece scores. Documents then look their words up: frequent words in a broadcast table of fixed
-size, the others by a shuffled join.
+Texts are parted at spaces and wherever no piece spans two neighbouring characters, which changes no result; the
+distinct parts of all documents are counted. They are exploded into substrings no longer than the longest piece, an
+equi-join with the piece table leaves the lattice's edges, edges are grouped by part, and a Viterbi fold with a
+higher-order function picks the path with the best sum of piece scores. Documents then look their parts up: frequent
+ones in a broadcast table of fixed size, the others by a shuffled join.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import durable, text_of
+from loomframe.llm.common import batches, durable, text_of
 
-#: The mark that stands for a space, and words in the broadcast table at most.
-SPACE, FREQUENT = "▁", 200_000
+#: The mark that stands for a space, parts in the broadcast table at most, and parts that a task remembers.
+SPACE, FREQUENT, REMEMBERED = "▁", 200_000, 300_000
+#: Modulus of the digests: terms stay below 2**31 and their sums far below 2**63.
+PRIME = 2**31 - 1
 #: Fixed value: how far below the worst piece a character without a piece scores.
 PENALTY = 10.0
 
@@ -46,10 +54,9 @@ class Pieces:
     def worst(self) -> float:
         return min((s for _, _, s in self.pieces), default=0.0)
 
-    def alone(self) -> str:
-        """ASCII characters that no longer piece holds: words may be parted around them."""
-        joined = {c for _, p, _ in self.pieces if len(p) > 1 for c in p}
-        return "".join(chr(i) for i in range(128) if chr(i) not in joined and chr(i) != SPACE)
+    def pairs(self) -> frozenset[str]:
+        """Neighbouring characters that some piece spans."""
+        return frozenset(p[i : i + 2] for _, p, _ in self.pieces for i in range(len(p) - 1))
 
     def check(self) -> None:
         if any(SPACE in p.lstrip(SPACE) for _, p, _ in self.pieces):
@@ -64,101 +71,223 @@ class Pieces:
         return spark.createDataFrame([*rows, (self.unknown, " ⁇ ".encode().hex())], "id int, hex string")
 
 
-def words(text: Column, vocabulary: Pieces) -> Column:
-    """A text's words in order: each run of marks with what follows it; joined they are the marked text."""
-    marked = F.when(text != "", F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))).otherwise("")
-    alone = "".join(f"\\x{ord(c):02x}" for c in vocabulary.alone())
-    pattern = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
-    return F.regexp_extract_all(marked, F.lit(pattern), 0)
+class Parts:
+    """Texts as words (a word is a run of marks and what follows it) and words as parts."""
+
+    def __init__(self, vocabulary: Pieces):
+        vocabulary.check()
+        self.pairs = vocabulary.pairs()
+        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+    def of(self, word: str) -> list[str]:
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def words(self, text: str) -> list[str]:
+        """Joined, the words are the text with a mark before it and for each of its spaces; of nothing, nothing."""
+        if self.plain(text):
+            return [SPACE + w for w in text.split(" ")]
+        return self.word.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def plain(self, text: str) -> bool:
+        """Whether single spaces alone part the text's words."""
+        return bool(text) and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " "
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    batches(docs.sparkSession)
+    return docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+
+
+def distinct_parts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The distinct parts of all texts with their counts: word, n. Tasks count before they shuffle."""
+
+    def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(vocabulary)
+        total: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            total.clear()
+            return out
+
+        for b in batches_:
+            plain: Counter[str] = Counter()
+            other: Counter[str] = Counter()
+            for text in b.column(0).to_pylist():
+                if parts.plain(text):
+                    plain.update(text.split(" "))
+                else:
+                    other.update(parts.words(text))
+            for words, mark in ((plain, SPACE), (other, "")):
+                for w, n in words.items():
+                    for part in parts.of(mark + w):
+                        total[part] += n
+            if len(total) > REMEMBERED:
+                yield flush()
+        yield flush()
+
+    found = _texts(docs, id_col, text_col).select("_text").mapInArrow(count, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word and edges (end, start, score, ids) of distinct(word): the pieces found, and a fallback for each character without one."""
+    """word and edges (end, start, score, id) of distinct(word): the pieces found; id is null for a character without one.
+
+    The join is with a table of fixed size, and explode keeps a word's rows where they are, so nothing is shuffled.
+    """
     spark = distinct.sparkSession
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     n = F.length("word")
-    starts = distinct.select("word", n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    parts = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("_n") - F.col("start")))).alias("_l"))
-    parts = parts.select("word", "start", (F.col("start") + F.col("_l")).alias("end"), "_l", F.substring("word", F.col("start") + 1, F.col("_l")).alias("piece"))
-    found = parts.join(F.broadcast(vocabulary.table(spark)), "piece", "left").filter("id is not null or _l = 1")
-    raw = F.hex(F.encode("piece", "utf-8"))
-    if vocabulary.bytes:
-        low = vocabulary.bytes[0]
-        spelled = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.conv(F.substr(raw, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + low)
-    else:
-        spelled = F.array(F.lit(vocabulary.unknown))
-    ids = F.when(F.col("id").isNull(), spelled).otherwise(F.array("id"))
-    score = F.coalesce("score", F.lit(vocabulary.worst - PENALTY))
-    return found.groupBy("word").agg(F.collect_list(F.struct("end", "start", score.alias("score"), ids.alias("ids"))).alias("edges"))
+    cut = distinct.select("word", F.explode(F.sequence(F.lit(1), n)).alias("end"))
+    cut = cut.select("word", "end", F.explode(F.sequence(F.greatest(F.col("end") - vocabulary.longest, F.lit(0)), F.col("end") - 1)).alias("start"))
+    cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
+    found = cut.join(F.broadcast(vocabulary.table(spark)), "piece", "left").filter("id is not null or end - start = 1")
+    edge = F.struct("end", "start", F.coalesce("score", F.lit(vocabulary.worst - PENALTY)).alias("score"), "id")
+    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def reached(edges: Column, length: Column) -> Column:
-    """For each position the best score of a path to it, where its last piece starts (negated), and that piece's ids.
+def best_path(edges: Column) -> Column:
+    """For each position, 0 first: the best score of a path to it, and the start and id of the path's last piece.
 
-    Of equal scores the one whose last piece is longer wins.
+    Edges come by end, then start. Of equal scores the one whose last piece is longer wins.
     """
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.array().cast("array<int>").alias("ids")))
+    node = lambda score, back, id_: F.struct(score.alias("score"), back.alias("back"), id_.alias("id"))
+    origin = F.array(node(F.lit(0.0), F.lit(0), F.lit(None).cast("int")))
 
-    def step(done: Column, at: Column) -> Column:
-        ends = F.filter(edges, lambda e: e["end"] == at)
-        to = F.transform(ends, lambda e: F.struct((F.get(done, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["ids"].alias("ids")))
-        return F.concat(done, F.array(F.array_max(to)))
+    def step(done: Column, e: Column) -> Column:
+        score = F.get(done, e["start"])["score"] + e["score"]
+        new = F.array(node(score, e["start"], e["id"]))
+        last = F.size(done) == e["end"]
+        better = score > F.get(done, e["end"])["score"]
+        return F.when(last, F.concat(done, new)).when(better, F.concat(F.slice(done, 1, e["end"]), new)).otherwise(done)
 
-    return F.aggregate(F.sequence(F.lit(1), length), origin, step)
+    return F.aggregate(edges, origin, step)
 
 
 def encode_words(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
     """word and ids of distinct(word)."""
-    vocabulary.check()
-    done = lattice(distinct, vocabulary).select("word", reached(F.col("edges"), F.length("word")).alias("grid"))
-    start = F.struct(F.length("word").alias("at"), F.array().cast("array<array<int>>").alias("ids"))
+    done = lattice(distinct, vocabulary).select("word", best_path(F.col("edges")).alias("grid"))
+    start = F.struct(F.length("word").alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("p"))
 
     def back(state: Column, _: Column) -> Column:
-        node = F.get(F.col("grid"), state["at"])
-        return F.when(state["at"] == 0, state).otherwise(F.struct((-node["back"]).alias("at"), F.concat(state["ids"], F.array(node["ids"])).alias("ids")))
+        n = F.get(F.col("grid"), state["at"])
+        piece = F.struct(n["back"].alias("s"), state["at"].alias("e"), n["id"].alias("id"))
+        return F.when(state["at"] == 0, state).otherwise(F.struct(n["back"].alias("at"), F.concat(F.array(piece), state["p"]).alias("p")))
 
-    path = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, back)["ids"]
-    return done.select("word", F.flatten(F.reverse(path)).alias("ids"))
+    path = done.select("word", F.aggregate(F.col("grid"), start, back)["p"].alias("path"))
+    raw = lambda p: F.hex(F.encode(F.substr(F.col("word"), p["s"] + 1, p["e"] - p["s"]), "utf-8"))
+    if vocabulary.bytes:
+        low = vocabulary.bytes[0]
+        spelled = lambda p: F.transform(F.sequence(F.lit(1), F.length(raw(p)), F.lit(2)), lambda i: F.conv(F.substr(raw(p), i, F.lit(2)), 16, 10).cast("int") + low)
+    else:
+        spelled = lambda p: F.array(F.lit(vocabulary.unknown))
+    plain = F.transform("path", lambda p: p["id"])
+    full = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNull(), spelled(p)).otherwise(F.array(p["id"]))))
+    return path.select("word", F.when(F.exists(plain, lambda x: x.isNull()), full).otherwise(plain).alias("ids"))
 
 
 def decode(rows: DataFrame, vocabulary: Pieces, key: str = "word") -> DataFrame:
     """key and text of rows(key, ids): the pieces' bytes joined, marks as spaces. Keys are distinct; unknown ids read as ` ⁇ `."""
     each = rows.select(key, F.posexplode("ids").alias("_at", "id"))
     named = each.join(F.broadcast(vocabulary.byte_table(rows.sparkSession)), "id")
-    joined = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "hex"))).alias("_p"))
+    joined = named.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "hex"))).alias("_p"))
     raw = F.unhex(F.array_join(F.transform("_p", lambda p: p["hex"]), ""))
     return joined.select(key, F.replace(F.decode(raw, "utf-8"), F.lit(SPACE), F.lit(" ")).alias("text"))
 
 
 def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids of each text. Null and empty texts have no ids; rows that repeat id and text are one."""
-    rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("_text"))
-    rows = rows.select("doc_id", F.xxhash64("_text").alias("_tie"), F.posexplode_outer(words(F.col("_text"), vocabulary)).alias("_at", "word")).distinct()
-    known = encode_words(rows.filter("word is not null").select("word").distinct(), vocabulary)
-    found = rows.join(known, "word", "left").groupBy("doc_id", "_tie").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_w"))
+
+    def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(vocabulary)
+        for b in batches_:
+            at, words = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                found = [p for w in parts.words(text) for p in parts.of(w)] or [None]
+                words += found
+                at += [(k, i) for i in range(len(found))]
+            rows = pa.array([k for k, _ in at], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array([i for _, i in at], pa.int64()), pa.array(words, pa.string())], ["doc_id", "_tie", "_at", "word"])
+
+    given = _texts(docs, id_col, text_col)
+    kind = given.schema["doc_id"].dataType.simpleString()
+    rows = given.mapInArrow(cut, f"doc_id {kind}, _tie long, _at long, word string")
+    known = encode_words(distinct_parts(docs, vocabulary, id_col, text_col).select("word"), vocabulary)
+    found = rows.distinct().join(known, "word", "left").groupBy("doc_id", "_tie").agg(F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_w"))
     return found.select("doc_id", F.flatten(F.filter(F.transform("_w", lambda w: w["ids"]), lambda x: x.isNotNull())).alias("ids"))
 
 
+def _looked_up(table: Callable[[], dict[str, tuple[int, int]]], vocabulary: Pieces):
+    """Rows of a document: what its known parts sum to (word null), and a row for each part that isn't known."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, known = Parts(vocabulary), table()
+        cache: dict[str, tuple[int, int, tuple]] = {}
+
+        def facts(word: str) -> tuple[int, int, tuple]:
+            """Pieces and digest of a word's known parts, and the other parts with their number."""
+            n = h = 0
+            rest = []
+            for j, p in enumerate(parts.of(word), 1):
+                if p in known:
+                    n += known[p][0]
+                    h += j * known[p][1]
+                else:
+                    rest.append((j, p))
+            return n, h % PRIME, tuple(rest)
+
+        def found(word: str) -> tuple[int, int, tuple]:
+            if (x := cache.get(word)) is None:
+                x = facts(word)
+                if len(cache) < REMEMBERED:
+                    cache[word] = x
+            return x
+
+        marked = lambda w: found(SPACE + w)
+        for b in batches_:
+            cols: list[list] = [[] for _ in range(6)]
+            for k, text in enumerate(b.column(1).to_pylist()):
+                each = list(map(marked, text.split(" "))) if parts.plain(text) else list(map(found, parts.words(text)))
+                n = sum(x[0] for x in each)
+                h = np.fromiter((x[1] for x in each), dtype=np.int64, count=len(each))
+                total = int((h * (np.arange(1, len(h) + 1) % PRIME) % PRIME).sum())
+                for c, v in zip(cols, (k, len(each), n, total, None, None), strict=True):
+                    c.append(v)
+                for pos, x in enumerate(each, 1):
+                    for j, p in x[2]:
+                        for c, v in zip(cols, (k, None, None, None, pos * j % PRIME, p), strict=True):
+                            c.append(v)
+            rows = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), *[pa.array(c, pa.int64()) for c in cols[1:5]], pa.array(cols[5], pa.string())], ["doc_id", "_tie", "w", "p", "d", "_factor", "word"])
+
+    return run
+
+
 def summary(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """Per document: doc_id, n_words, n_pieces, ids_digest (order counts), round_trip (its words decode to themselves).
+    """Per document: doc_id, n_words, n_pieces, ids_digest, round_trip (its parts decode to themselves).
 
-    Words are encoded once over all documents. Rows that repeat id and text are one; null and empty texts have no
-    words. Only the words that are not among the `frequent` most frequent ones are shuffled with their documents.
+    The digest is a sum over words and parts of place times a hash of the part's ids, modulo PRIME. Parts are
+    encoded once over all documents. Rows that repeat id and text are one; null and empty texts have no words. Only
+    parts that are not among the `frequent` most frequent ones are shuffled with their documents.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text_of(docs, text_col)).alias("_tie"), F.posexplode_outer(words(text_of(docs, text_col), vocabulary)).alias("_at", "word"))
-    distinct = durable(rows.filter("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("_n")))
+    spark = docs.sparkSession
+    distinct = durable(distinct_parts(docs, vocabulary, id_col, text_col))
     encoded = durable(encode_words(distinct.select("word"), vocabulary))
-    back = decode(encoded, vocabulary)
-    plain = F.replace(F.col("word"), F.lit(SPACE), F.lit(" "))
-    known = encoded.join(back, "word").select("word", F.size("ids").alias("_pieces"), F.xxhash64("ids").alias("_hash"), (F.col("text") == plain).alias("_ok"))
-    known = durable(known)
-    top = durable(distinct.orderBy(F.desc("_n"), "word").limit(frequent).select("word"))
-    head = durable(known.join(F.broadcast(top), "word", "left_semi"))
-    first = rows.join(F.broadcast(head), "word", "left")
-    near = first.filter("_pieces is not null or word is null")
-    far = first.filter("_pieces is null and word is not null").select("word", "doc_id", "_tie", "_at").join(known, "word")
-    part = lambda df: df.groupBy("doc_id", "_tie").agg(
-        F.count("word").alias("w"), F.coalesce(F.sum("_pieces"), F.lit(0)).alias("p"), F.bit_xor(F.xxhash64("_at", "_hash")).alias("d"), F.min(F.coalesce("_ok", F.lit(True))).alias("k")
-    )
-    both = part(near).unionByName(part(far)).groupBy("doc_id", "_tie")
-    out = both.agg(F.sum("w").alias("n_words"), F.sum("p").alias("n_pieces"), F.bit_xor("d").alias("ids_digest"), F.min("k").alias("round_trip"))
+    same = F.col("text") == F.replace(F.col("word"), F.lit(SPACE), F.lit(" "))
+    wrong = decode(encoded, vocabulary).filter(~same).select("word")
+    known = encoded.join(wrong.withColumn("_bad", F.lit(True)), "word", "left")
+    known = durable(known.select("word", F.size("ids").cast("long").alias("_pieces"), F.pmod(F.xxhash64("ids"), F.lit(PRIME)).alias("_hash"), F.coalesce("_bad", F.lit(False)).alias("_bad")))
+    top = distinct.orderBy(F.desc("n"), "word").limit(frequent).select("word")
+    head = {r["word"]: (r["_pieces"], r["_hash"]) for r in known.filter("not _bad").join(F.broadcast(top), "word", "left_semi").toLocalIterator()}
+    shared = spark.sparkContext.broadcast(head)
+    given = _texts(docs, id_col, text_col)
+    kind = given.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, _tie long, w long, p long, d long, _factor long, word string"
+    rows = durable(given.mapInArrow(_looked_up(lambda: shared.value, vocabulary), schema))
+    near = rows.filter("word is null").select("doc_id", "_tie", "w", "p", "d", F.lit(False).alias("_bad"), F.lit(1).alias("_copy"))
+    far = rows.filter("word is not null").select("doc_id", "_tie", "_factor", "word").join(known, "word")
+    far = far.select("doc_id", "_tie", F.lit(0).cast("long").alias("w"), F.col("_pieces").alias("p"), (F.col("_factor") * F.col("_hash") % PRIME).alias("d"), "_bad", F.lit(0).alias("_copy"))
+    each = lambda c: F.expr(f"sum({c}) div sum(_copy)")  # noqa: E731  rows that repeat id and text add up
+    out = near.unionByName(far).groupBy("doc_id", "_tie").agg(each("w").alias("n_words"), each("p").alias("n_pieces"), F.pmod(each("d"), F.lit(PRIME)).alias("ids_digest"), (~F.max("_bad")).alias("round_trip"))
     return out.select("doc_id", "n_words", "n_pieces", "ids_digest", "round_trip")

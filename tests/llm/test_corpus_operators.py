@@ -259,9 +259,10 @@ def test_pieces_by_force(spark):
     got = {r.doc_id: list(r.ids) for r in sp.encode(docs, v).collect()}
     for i, t in enumerate(texts):
         marked = "▁" + t.replace(" ", "▁") if t else ""
-        words = re.findall(f"▁*[^▁{re.escape(v.alone())}]+|▁+|[{re.escape(v.alone())}]", marked)
-        assert "".join(words) == marked
-        assert got[i] == [x for w in words for x in best_by_force(w, v)]
+        parts = sp.Parts(v)
+        words = parts.words(t)
+        assert "".join(words) == marked and all("".join(parts.of(w)) == w for w in words)
+        assert got[i] == best_by_force(marked, v)
     assert got[900] == []
     back = {r.doc_id: r.text for r in sp.decode(sp.encode(docs, v), v, "doc_id").collect()}
     assert all(back[i] == " " + t for i, t in enumerate(texts) if t)
@@ -271,8 +272,9 @@ def test_pieces_by_force(spark):
 def test_pieces_of_the_model_round_trip(spark):
     v = sp.Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = sp.summary(docs, v, frequent=500).collect()
+    rows = sp.summary(docs.union(docs.limit(20)), v, frequent=500).collect()
     assert len(rows) == docs.count() and all(r.round_trip for r in rows)
+    assert {tuple(r) for r in rows} == {tuple(r) for r in sp.summary(docs, v, frequent=0).collect()}
     some = docs.orderBy("doc_id").limit(5)
     ids = {r.doc_id: len(r.ids) for r in sp.encode(some, v).collect()}
     assert {r.doc_id: r.n_pieces for r in rows if r.doc_id in ids} == ids
