@@ -430,26 +430,50 @@ class Frame:
     def hasna(self) -> bool:
         return bool(self.columns) and not self.df.filter(_any([q(c).isNull() for c in self.columns])).isEmpty()
 
+    def _first_key(self) -> Column | None:
+        """One comparable value, never missing, that orders the rows; None if a key is descending."""
+        if all(k.ascending for k in self.order):
+            return F.struct(*[c for k in self.order for c in (q(k.name).isNull(), q(k.name))])
+        return None
+
     def duplicated(self, subset: Sequence[str] = ()) -> Series:
-        """True for rows that an earlier row equals on the subset; missing equals missing."""
-        return self._numbered(subset).col("__dup")
+        """True for rows that an earlier row equals on the subset; missing equals missing.
 
-    def drop_duplicates(self, subset: Sequence[str] = ()) -> Frame:
-        """The first row of each kind. Kinds are found by a combined minimum of the order keys, not by a window."""
-        from pyspark.sql import Window
+        The first place of each kind is a combined minimum, which is joined back: a kind with very many rows is neither
+        sorted nor held by one task.
+        """
+        names = list(subset) or self.columns
+        self._need(names)
+        key = self._first_key()
+        if key is None:
+            return self._with(self.df.withColumn("__dup", self._number(names) > 1)).col("__dup")
+        firsts = self.df.groupBy(*[q(n).alias(f"__k{i}") for i, n in enumerate(names)]).agg(F.min(key).alias("__first"))
+        on = _all([q(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(names)])
+        df = self.df.join(firsts, on).withColumn("__dup", F.col("__first") < key)
+        return self._with(df.drop("__first", *[f"__k{i}" for i in range(len(names))])).col("__dup")
 
+    def drop_duplicates(self, subset: Sequence[str] = ()) -> Frame:
+        """The first row of each kind, by a minimum that is combined before the shuffle."""
         names = list(subset) or self.columns
         self._need(names)
-        w = Window.partitionBy(*map(q, names)).orderBy(*sort_columns(self.order))
-        return self._with(self.df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn"))
+        return self._with(self.drop_duplicates_raw(names))
+
+    def drop_duplicates_raw(self, names: list[str]) -> DataFrame:
+        key = self._first_key()
+        if key is None:
+            return self.df.withColumn("__rn", self._number(names)).filter("__rn = 1").drop("__rn")
+        first = F.min_by(F.struct(*map(q, self.df.columns)), key)
+        rows = self.df.groupBy(*[q(n).alias(f"__k{i}") for i, n in enumerate(names)]).agg(first.alias("__row"))
+        out = rows.select("__row.*")
+        for f in self.df.schema:
+            if f.metadata:
+                out = out.withMetadata(f.name, f.metadata)
+        return out
 
-    def _numbered(self, subset: Sequence[str]) -> Frame:
+    def _number(self, names: list[str]) -> Column:
         from pyspark.sql import Window
 
-        names = list(subset) or self.columns
-        self._need(names)
-        w = Window.partitionBy(*map(q, names)).orderBy(*sort_columns(self.order))
-        return self._with(self.df.withColumn("__dup", F.row_number().over(w) > 1))
+        return F.row_number().over(Window.partitionBy(*map(q, names)).orderBy(*sort_columns(self.order)))
 
     # --- order ---------------------------------------------------------------------------------------------
 
@@ -518,12 +542,6 @@ class Frame:
         joined = want.join(firsts.drop(*[c for c in firsts.columns if c.startswith("__o")]), q("__label").eqNullSafe(q(name)), "left")
         return Frame(joined.drop(name).withColumnRenamed("__label", name), [Key(order)], [name])
 
-    def drop_duplicates_raw(self, names: list[str]) -> DataFrame:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*map(q, names)).orderBy(*sort_columns(self.order))
-        return self.df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-
     def _one_label(self) -> str:
         if len(self.index) > 1:
             raise NotSupported("several label columns")
@@ -706,6 +724,66 @@ class Frame:
     def pipe(self, fn: Callable[[Frame], Frame]) -> Frame:
         return fn(self)
 
+    def rolling(self, size: int, min_periods: int | None = None, center: bool = False):
+        from loomframe.operators.window import Rolling
+
+        return Rolling(self, size, min_periods, center)
+
+    def expanding(self, min_periods: int = 1):
+        from loomframe.operators.window import Expanding
+
+        return Expanding(self, min_periods)
+
+    def resample(self, freq: str):
+        from loomframe.operators.resample import Resampler
+
+        return Resampler(self, freq)
+
+    def merge(self, other: Frame, **options) -> Frame:
+        from loomframe.operators.merge import merge
+
+        return merge(self, other, **options)
+
+    def join(self, other: Frame, **options) -> Frame:
+        from loomframe.operators.merge import join
+
+        return join(self, other, **options)
+
+    def melt(self, *args, **options) -> Frame:
+        from loomframe.operators.reshape import melt
+
+        return melt(self, *args, **options)
+
+    def pivot(self, index: str, columns: str, values: str) -> Frame:
+        from loomframe.operators.reshape import pivot
+
+        return pivot(self, index, columns, values)
+
+    def pivot_table(self, *args, **options) -> Frame:
+        from loomframe.operators.reshape import pivot_table
+
+        return pivot_table(self, *args, **options)
+
+    def stack(self) -> Frame:
+        from loomframe.operators.reshape import stack
+
+        return stack(self)
+
+    def unstack(self) -> Frame:
+        from loomframe.operators.reshape import unstack
+
+        return unstack(self)
+
+    def loc(self, rows: Sequence[Any], columns: Sequence[str] | None = None) -> Frame:
+        """Rows by label and columns by name."""
+        found = self.loc_rows(*rows)
+        return found.select(*columns) if columns is not None else found
+
+    def iloc(self, rows: Sequence[int | slice], columns: Sequence[int] | None = None) -> Frame:
+        """Rows and columns by position."""
+        found = self.iloc_rows(*rows)
+        return found.iloc_cols(*columns) if columns is not None else found
+
     def groupby(self, *keys: str, dropna: bool = True, sort: bool = True, as_index: bool = False) -> GroupBy:
         from loomframe.operators.groupby import GroupBy
 

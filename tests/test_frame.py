@@ -155,6 +155,19 @@ def test_duplicates(spark):
     assert f.drop_duplicates().rows() == [(1, "x"), (2, None)]
 
 
+def test_the_flat_names(people):
+    from loomframe import api
+
+    assert api.merge(people, people, on="name").columns == people.merge(people, on="name").columns
+    assert people.iloc([0, -1], [1]).rows() == [("Ana",), ("Eve",)]
+    assert people.select("age", "salary").rolling(2).sum().rows()[1] == (57.0, 2300.0)
+
+
+def test_duplicates_under_a_descending_order(people):
+    f = people.sort_values("age", False).drop_duplicates(["country"])
+    assert f.select("name").rows() == [("Cid",), ("Bob",)]
+
+
 def test_labels(people):
     f = people.set_index("age").select("name")
     assert f.loc_rows("40", "22").rows() == [("Cid",), ("Ana",)]
