@@ -11,7 +11,7 @@ from loomframe.llm import exact_dedup, language_id, minhash_dedup, packing, pii
 from loomframe.llm.common import durable, table
 
 #: A document goes if its language can't be told (no letters) or is less likely than this.
-LEAST = 0.5
+LEAST = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
