@@ -2,9 +2,10 @@
 
 Texts are parted at spaces and wherever no piece spans two neighbouring characters, which changes no result; the
 distinct parts of all documents are counted. They are exploded into substrings no longer than the longest piece, an
-equi-join with the piece table leaves the lattice's edges, edges are grouped by part, and a Viterbi fold with a
-higher-order function picks the path with the best sum of piece scores. Documents then look their parts up: frequent
-ones in a broadcast table of fixed size, the others by a shuffled join.
+equi-join with the piece table leaves the lattice's edges, edges are grouped by part, and a fold with higher-order
+functions picks the path: for a unigram model the Viterbi fold, which gives the best sum of piece scores; for a BPE model
+a fold that joins the best pair of neighbours at each step, as no sum of scores gives that model's own segmentation.
+Documents then look their parts up: frequent ones in a broadcast table of fixed size, the others by a shuffled join.
 """
 
 from __future__ import annotations
@@ -29,6 +30,34 @@ PRIME = 2**31 - 1
 PENALTY = 10.0
 
 
+def _field(message: bytes, number: int, default):
+    """The first field of a number in a protocol buffer message: bytes, or an integer."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            value = varint()
+        else:
+            n = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            value, at = message[at : at + n], at + n
+        if key >> 3 == number:
+            return value
+    return default
+
+
 @dataclass(frozen=True)
 class Pieces:
     """A vocabulary: (id, piece, score) of ordinary pieces, the ids of the 256 byte pieces (or none), the unknown id."""
@@ -36,6 +65,7 @@ class Pieces:
     pieces: tuple[tuple[int, str, float], ...]
     bytes: tuple[int, ...]
     unknown: int
+    merges: bool = False  # a BPE model
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -44,7 +74,11 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         own = tuple((i, sp.id_to_piece(i), sp.get_score(i)) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
-        return cls(own, tuple(i for i in ids if sp.is_byte(i)), sp.unk_id())
+        with open(path, "rb") as f:
+            kind = _field(_field(f.read(), 2, b""), 3, 1)  # trainer_spec.model_type: 1 unigram, 2 BPE
+        if kind not in (1, 2):
+            raise ValueError(f"model type {kind} is neither unigram nor BPE")
+        return cls(own, tuple(i for i in ids if sp.is_byte(i)), sp.unk_id(), kind == 2)
 
     @property
     def longest(self) -> int:
@@ -165,17 +199,43 @@ def best_path(edges: Column) -> Column:
     return F.aggregate(edges, origin, step)
 
 
+def merged(longer: Column, length: Column) -> Column:
+    """Bounds of the pieces after all merges along the edges of more than one character: at each step the neighbours
+    whose join has the best score become one, the leftmost of equal ones."""
+
+    def step(cuts: Column, _: Column) -> Column:
+        after_next = lambda e: F.get(cuts, F.array_position(cuts, e["start"]).cast("int") + 1)
+        fits = F.filter(longer, lambda e: (F.array_position(cuts, e["start"]) > 0) & (after_next(e) == e["end"]))
+        top = F.array_max(F.transform(fits, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
+        done = F.transform(F.array(top), lambda t: F.when(t.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= -t["left"]) | (c >= t["end"]))))
+        return F.get(done, F.lit(0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.sequence(F.lit(0), length), step)
+
+
 def encode_words(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
     """word and ids of distinct(word)."""
-    done = lattice(distinct, vocabulary).select("word", best_path(F.col("edges")).alias("grid"))
-    start = F.struct(F.length("word").alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("p"))
+    edges = lattice(distinct, vocabulary)
+    if vocabulary.merges:
+        found = edges.select("word", "edges", F.filter("edges", lambda e: e["end"] - e["start"] > 1).alias("_longer"))
+        cuts = found.select("word", "edges", F.when(F.size("_longer") > 0, merged(F.col("_longer"), F.length("word"))).otherwise(F.sequence(F.lit(0), F.length("word"))).alias("cuts"))
+
+        def piece(k: Column) -> Column:
+            a, b = F.get(F.col("cuts"), k - 1), F.get(F.col("cuts"), k)
+            here = F.filter(F.col("edges"), lambda e: (e["start"] == a) & (e["end"] == b))
+            return F.struct(a.alias("s"), b.alias("e"), F.get(here, F.lit(0))["id"].alias("id"))
+
+        path = cuts.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), piece).alias("path"))
+    else:
+        done = edges.select("word", best_path(F.col("edges")).alias("grid"))
+        start = F.struct(F.length("word").alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("p"))
 
-    def back(state: Column, _: Column) -> Column:
-        n = F.get(F.col("grid"), state["at"])
-        piece = F.struct(n["back"].alias("s"), state["at"].alias("e"), n["id"].alias("id"))
-        return F.when(state["at"] == 0, state).otherwise(F.struct(n["back"].alias("at"), F.concat(F.array(piece), state["p"]).alias("p")))
+        def back(state: Column, _: Column) -> Column:
+            n = F.get(F.col("grid"), state["at"])
+            piece = F.struct(n["back"].alias("s"), state["at"].alias("e"), n["id"].alias("id"))
+            return F.when(state["at"] == 0, state).otherwise(F.struct(n["back"].alias("at"), F.concat(F.array(piece), state["p"]).alias("p")))
 
-    path = done.select("word", F.aggregate(F.col("grid"), start, back)["p"].alias("path"))
+        path = done.select("word", F.aggregate(F.col("grid"), start, back)["p"].alias("path"))
     raw = lambda p: F.hex(F.encode(F.substr(F.col("word"), p["s"] + 1, p["e"] - p["s"]), "utf-8"))
     if vocabulary.bytes:
         low = vocabulary.bytes[0]

@@ -11,6 +11,7 @@ import pytest
 pytest.importorskip("loomframe.llm")
 
 import public_tokenizers  # noqa: E402
+import sentencepiece  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from loomframe.llm import chat_trees, exact_dedup, minhash_dedup, packing, simhash  # noqa: E402
@@ -275,9 +276,15 @@ def test_pieces_of_the_model_round_trip(spark):
     rows = sp.summary(docs.union(docs.limit(20)), v, frequent=500).collect()
     assert len(rows) == docs.count() and all(r.round_trip for r in rows)
     assert {tuple(r) for r in rows} == {tuple(r) for r in sp.summary(docs, v, frequent=0).collect()}
-    some = docs.orderBy("doc_id").limit(5)
-    ids = {r.doc_id: len(r.ids) for r in sp.encode(some, v).collect()}
-    assert {r.doc_id: r.n_pieces for r in rows if r.doc_id in ids} == ids
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    odd = spark.createDataFrame([(-1, "a  b   c "), (-2, " x\n\ny\t1234 ▁z"), (-3, "日本語 🙂 naïve"), (-4, "e" * 60 + " = == === ----"), (-5, "")], "doc_id long, text string")
+    some = docs.select("doc_id", "text").orderBy("doc_id").limit(25).union(odd)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    got = {r.doc_id: list(r.ids) for r in sp.encode(some, v).collect()}
+    for i, t in texts.items():
+        assert got[i] == library.encode(t), t[:50]
+    assert all(r.n_pieces == len(got[r.doc_id]) for r in rows if r.doc_id in got)
+    assert v.merges
 
 
 def test_reply_trees(spark):
