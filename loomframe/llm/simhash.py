@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import text_of
 
-#: Words of a term, bits of a fingerprint, documents of a block (expected), blocks at most.
-WORDS, BITS, BLOCK, BLOCKS = 5, 64, 2000, 50_000
+#: Words of a term, 64-bit lanes of a fingerprint, documents of a block (expected), blocks at most.
+WORDS, LANES, BLOCK, BLOCKS = 5, 2, 2000, 50_000
+BITS = 64 * LANES
 
 
 def word_hashes(text: Column) -> Column:
@@ -29,43 +30,59 @@ def terms(hashes: Column, words: int = WORDS) -> Column:
     return F.when(F.size(hashes) > 0, every).otherwise(F.array().cast("array<bigint>"))
 
 
+def lanes() -> dict[str, Column]:
+    """`_h0`, `_h1`, …: independent hashes of a term, from its hash `_h`."""
+    return {f"_h{n}": F.col("_h") if not n else F.when(F.col("_h").isNotNull(), F.xxhash64("_h", F.lit(n))) for n in range(LANES)}
+
+
 def votes() -> list[Column]:
-    """Sums over rows of `_h`: two counters of 32 bits each, for bits i and i + 32 of the hashes."""
-    return [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"_v{i}") for i in range(32)]
+    """Sums over rows of `_h0`, …: two counters of 32 bits each, for bits i and i + 32 of a hash."""
+    return [F.sum(F.shiftrightunsigned(f"_h{n}", i).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"_v{n}_{i}") for n in range(LANES) for i in range(32)]
 
 
 def from_votes(count: str = "_count") -> Column:
-    """The fingerprint: a bit is set if more terms have it set than not. No terms: 0."""
+    """The fingerprint, an array of longs: a bit is set if more terms have it set than not. No terms: 0."""
     bit = lambda ones, i: F.when(F.coalesce(ones, F.lit(0)) * 2 > F.col(count), F.lit((1 << i) - (1 << 64) * (i == 63))).otherwise(F.lit(0))
-    parts = [bit(F.col(f"_v{i}").bitwiseAND(F.lit((1 << 32) - 1)), i) for i in range(32)]
-    parts += [bit(F.shiftrightunsigned(f"_v{i}", 32), i + 32) for i in range(32)]
-    while len(parts) > 1:
-        parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2], strict=True)]
-    return parts[0]
+
+    def lane(n: int) -> Column:
+        parts = [bit(F.col(f"_v{n}_{i}").bitwiseAND(F.lit((1 << 32) - 1)), i) for i in range(32)]
+        parts += [bit(F.shiftrightunsigned(f"_v{n}_{i}", 32), i + 32) for i in range(32)]
+        while len(parts) > 1:
+            parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2], strict=True)]
+        return parts[0]
+
+    return F.array(*map(lane, range(LANES)))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Bits that differ."""
+    return sum((F.bit_count(F.get(a, F.lit(n)).bitwiseXOR(F.get(b, F.lit(n)))) for n in range(LANES)), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of bits that agree."""
-    return (F.lit(BITS) - F.bit_count(a.bitwiseXOR(b))) / F.lit(float(BITS))
+    return (F.lit(BITS) - distance(a, b)) / F.lit(float(BITS))
 
 
 def as_hex(fingerprint: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fingerprint), BITS // 4, "0"))
+    """The last lane first, 16 digits each."""
+    return F.lower(F.concat(*[F.lpad(F.hex(F.get(fingerprint, F.lit(n))), 16, "0") for n in reversed(range(LANES))]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id (and the columns of `keep`) and the fingerprint (long) of each row's text; null counts as empty.
+    """doc_id (and the columns of `keep`) and the fingerprint of each row's text; null counts as empty.
 
     The votes are counted where the row is: terms are exploded and summed without a shuffle of text.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), *keep, text_of(docs, text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.select("doc_id", *keep, "_row", F.explode(F.array(word_hashes(F.col("_text")))).alias("_x"))
     rows = rows.select("doc_id", *keep, "_row", F.explode_outer(terms(F.col("_x"))).alias("_h"))
+    rows = rows.withColumns(lanes())
     out = rows.groupBy("doc_id", *keep, "_row").agg(F.count("_h").alias("_count"), *votes())
     return out.select("doc_id", *keep, from_votes().alias("fingerprint"))
 
 
-def near(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near(prints: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     """All pairs (a, b, distance) of different fingerprints in prints(fingerprint) within the Hamming radius, a < b.
 
     `radius` flipped bits touch at most `radius` blocks, so near fingerprints agree in some blocks - radius of them:
@@ -73,15 +90,15 @@ def near(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     no pairs. A pair is reported once, by the first table that holds it. Nulls are left out.
     """
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    part = lambda m, n: (x := m >> 64 * n & (1 << 64) - 1) - (1 << 64) * (x >> 63)
+    under = lambda f, m: F.array(*[F.get(f, F.lit(n)).bitwiseAND(F.lit(part(m, n))) for n in range(LANES)])
     own = prints.filter("fingerprint is not null").select("fingerprint").distinct()
-    keyed = own.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("_table", "_key"))
+    keyed = own.select("fingerprint", F.posexplode(F.array(*[under(F.col("fingerprint"), m) for m in masks])).alias("_table", "_key"))
     a, b = keyed.withColumnRenamed("fingerprint", "a"), keyed.withColumnRenamed("fingerprint", "b")
-    pairs = a.join(b, ["_table", "_key"]).filter("a < b")
-    agree = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    first = F.array_position(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) == 0), True) - 1
-    return pairs.filter((agree <= radius) & (F.col("_table") == first)).select("a", "b", agree.alias("distance"))
+    pairs = a.join(b, ["_table", "_key"]).filter(F.col("a") < F.col("b")).withColumn("distance", distance(F.col("a"), F.col("b")))
+    first = F.array_position(F.array(*[under(F.col("a"), m) == under(F.col("b"), m) for m in masks]), True) - 1
+    return pairs.filter((F.col("distance") <= radius) & (F.col("_table") == first)).select("a", "b", "distance")
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,8 +141,9 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = F.array(*[F.struct(F.lit(e).alias("e"), word_hashes(F.col(c)).alias("h")) for e, c in ((False, "_text"), (True, "_edited"))])
     flat = rows.select(*keys, F.explode(each).alias("_x")).select(*keys, F.col("_x.e").alias("_e"), F.col("_x.h").alias("_w"))
     flat = flat.select(*keys, "_e", F.explode_outer(terms(F.col("_w"))).alias("_h"))
+    flat = flat.withColumns(lanes())
     both = flat.groupBy(*keys, "_e").agg(F.count("_h").alias("_count"), *votes()).select(*keys, "_e", from_votes().alias("_f"))
-    pick = lambda e: F.max(F.when(F.col("_e") == F.lit(e), F.col("_f")))
+    pick = lambda e: F.array(*[F.max(F.when(F.col("_e") == F.lit(e), F.get("_f", F.lit(n)))) for n in range(LANES)])
     own = both.groupBy(*keys).agg(pick(False).alias("_own"), pick(True).alias("_new"))
     own = own.withColumn("_after", F.lead("_own").over(down)).filter(~F.col("_halo"))
     return own.select(

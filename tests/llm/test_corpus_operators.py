@@ -147,8 +147,10 @@ def simhash_by_hand(text):
         s = 42
         for x in h[i : i + 5]:
             s = xx((x & (2**64 - 1)).to_bytes(8, "little"), s & (2**64 - 1))
-        terms.append(s & (2**64 - 1))
-    return sum(1 << b for b in range(64) if 2 * sum(t >> b & 1 for t in terms) > len(terms))
+        s &= 2**64 - 1
+        more = xx((1).to_bytes(4, "little"), xx(s.to_bytes(8, "little")) & (2**64 - 1)) & (2**64 - 1)
+        terms.append(s | more << 64)
+    return sum(1 << b for b in range(128) if 2 * sum(t >> b & 1 for t in terms) > len(terms))
 
 
 def test_simhash(spark):
@@ -165,12 +167,12 @@ def test_simhash(spark):
         a, b, c = (simhash_by_hand(x) for x in (t, edited, after))
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (int(r.fingerprint, 16), int(r.edited_fingerprint, 16)) == (a, b), t
-        assert r.near_edited == 1 - (a ^ b).bit_count() / 64 and r.near_next == 1 - (a ^ c).bit_count() / 64
+        assert r.near_edited == 1 - (a ^ b).bit_count() / 128 and r.near_next == 1 - (a ^ c).bit_count() / 128
     assert simhash.compare_edited(docs.limit(0)).count() == 0
     one = simhash.compare_edited(docs.filter("doc_id = 10000")).first()
     assert one.near_next == 1.0
     same = simhash.fingerprints(docs)
-    assert {r.doc_id: r.fingerprint & (2**64 - 1) for r in same.collect()} == {i: int(r.fingerprint, 16) for i, r in got.items()}
+    assert {r.doc_id: joined(r.fingerprint) for r in same.collect()} == {i: int(r.fingerprint, 16) for i, r in got.items()}
 
 
 def test_simhash_blocks(spark, monkeypatch):
@@ -183,17 +185,21 @@ def test_simhash_blocks(spark, monkeypatch):
         assert got[i] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
 
 
+def joined(lanes):
+    return sum((x & (2**64 - 1)) << 64 * n for n, x in enumerate(lanes))
+
+
 def test_block_tables(spark):
     rng = random.Random(2)
-    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints = [rng.getrandbits(128) for _ in range(40)]
     for p in prints[:30]:
         q = p
-        for _ in range(rng.randint(1, 5)):
-            q ^= 1 << rng.randrange(64)
+        for _ in range(rng.randint(1, 9)):
+            q ^= 1 << rng.randrange(128)
         prints.append(q)
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = {(r.a, r.b, r.distance) for r in simhash.near(spark.createDataFrame([(p,) for p in [*signed, None, signed[0]]], "fingerprint long"), 3).collect()}
-    want = {(min(a, b), max(a, b), ((a ^ b) & (2**64 - 1)).bit_count()) for i, a in enumerate(signed) for b in signed[:i] if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    signed = [[(x := p >> 64 * n & 2**64 - 1) - (x >> 63 << 64) for n in range(2)] for p in prints]
+    got = {(frozenset((joined(r.a), joined(r.b))), r.distance) for r in simhash.near(spark.createDataFrame([(p,) for p in [*signed, None, signed[0]]], "fingerprint array<long>"), 6).collect()}
+    want = {(frozenset((a, b)), (a ^ b).bit_count()) for i, a in enumerate(prints) for b in prints[:i] if a != b and (a ^ b).bit_count() <= 6}
     assert got == want and want
 
 
