@@ -105,7 +105,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not languages:
         return Model([], [], {}, {}, [], {})
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / size[lang]))])
-    chosen = rows.filter(F.col("_lang").isin(languages)).filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share[F.col("_lang")] * 1_000_000)
+    chosen = rows.filter(F.col("_lang").isin(languages)).filter(F.pmod(F.xxhash64("_id"), F.lit(10**15)) < share[F.col("_lang")] * 10**15)
     each = chosen.select("_lang", F.explode(F.split(F.lower("_text"), r"[^\p{L}]+")).alias("_word")).filter("_word != ''")
     words = each.groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("_n")).cache()
     try:

@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, suffixes: int = SUFFIXES, rou
     rows = labelled.filter("_block is not null and _url is not null").select("_url", F.col("_block").cast("double").alias("_block"))
     total = rows.count()
     if total > sample:
-        rows = rows.filter(F.pmod(F.xxhash64("_url"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+        rows = rows.filter(F.pmod(F.xxhash64("_url"), F.lit(10**15)) < int(10**15 * sample / total))
     rows = rows.coalesce(8).cache()
     try:
         seen = {r["_block"]: r["n"] for r in rows.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}
