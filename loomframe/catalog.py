@@ -20,7 +20,8 @@ from loomframe.operators.concat import concat
 from loomframe.operators.frame import Frame, Key
 from loomframe.operators.groupby import group_count, group_size
 from loomframe.operators.merge import join, merge
-from loomframe.operators.ndarray import NDArray
+from loomframe.operators.ndarray import NDArray, concatenate
+from loomframe.operators.ndarray import where as nd_pick
 from loomframe.operators.resample import resample
 from loomframe.operators.reshape import melt, pivot, pivot_table, stack, unstack
 from loomframe.operators.series import Series
@@ -1053,6 +1054,51 @@ def nd_unique(t):
     return _matrix(t).unique().df
 
 
+_CELLS = f"(select r, unnest(e) as x, generate_subscripts(e, 1) - 1 as j from {_M})"
+
+
+@query(f"select (r * 3 + k)::bigint as i, e[p + 1] as v from {_M}, (values (0, 3), (1, 63), (2, 3)) t(k, p)")
+def nd_take(t):
+    return _matrix(t).take([3, -1, 3], axis=1).df
+
+
+@query(f"select (r * 64 + j)::bigint as i, x as v from {_CELLS} union all select ((r + 40) * 64 + j)::bigint, x * 2 from {_CELLS}")
+def nd_concat(t):
+    m = _matrix(t)
+    return concatenate([m, m * 2.0], 0).df
+
+
+@query(f"select (r * 64 + j)::bigint as i, case when x > 0 then x else 0.5 end as v from {_CELLS}")
+def nd_where(t):
+    m = _matrix(t)
+    return nd_pick(m.gt(0.0), m, 0.5).df
+
+
+@query(f"select (r * 64 + j)::bigint as i, x <= 0.05 as v from {_CELLS}")
+def nd_compare(t):
+    return _matrix(t).le(0.05).df
+
+
+@query(f"select (r * 64 + row_number() over (partition by r order by x, j) - 1)::bigint as i, j::bigint as v from {_CELLS}")
+def nd_argsort(t):
+    return _matrix(t).argsort().df
+
+
+@query(f"select (r * 64 + j)::bigint as i, (" + " + ".join(f"(x > {g / 4})::bigint" for g in range(-4, 4)) + f")::bigint as v from {_CELLS}")
+def nd_searchsorted(t):
+    return NDArray.arange(t.spark, -1.0, 1.0, 0.25).searchsorted(_matrix(t)).df
+
+
+@query(f"select (r * 64 + j)::bigint as i, round(ln(abs(x) + 1), 9) as v from {_CELLS}")
+def nd_ufunc(t):
+    return _matrix(t).ufunc("abs").add(1.0).ufunc("log").df.withColumn("v", F.round("v", 9))
+
+
+@query(f"select (r * 64 + j)::bigint as i, greatest(least(x, 0.1), -0.1) as v from {_CELLS}")
+def nd_maximum(t):
+    return _matrix(t).minimum(0.1).maximum(-0.1).df
+
+
 # --- files --------------------------------------------------------------------------------------------------
 
 
