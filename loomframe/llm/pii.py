@@ -23,7 +23,7 @@ Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
@@ -101,6 +101,8 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
 }
+#: Last parts of a domain that make bare words like "at" and "dot" count as signs.
+ENDINGS = frozenset(("com", "net", "org", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "eu"))
 #: Spelled digits that must stand in a row to count.
 RUN = 4
 
@@ -170,8 +172,8 @@ def normalise(text: str) -> Tape:
         for m in _MAIL.finditer(tape.text):
             bare = m[1].strip().lower() == "at"
             tail = tape.text[m.end(1) : m.end()]
-            if bare and not re.search(r"[(\[{< ]dot[)\]}> ]", tail, re.IGNORECASE):
-                continue  # the word "at" before an ordinary name
+            if bare and (not re.search(r"[(\[{< ]dot[)\]}> ]", tail, re.IGNORECASE) or _PART.findall(tail)[-1].lower() not in ENDINGS):
+                continue  # the word "at" before ordinary words
             for s in _SIGN.finditer(tape.text, m.start(), m.end()):
                 sign = "@" if "at" in s[0].lower() or "@" in s[0] else "."
                 if s[0] != sign:
