@@ -36,23 +36,22 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _logs(counts: list[int], totals: list[int], kinds: int) -> tuple[float, ...]:
+    return tuple(math.log((c + 0.5) / (t + 0.5 * kinds)) for c, t in zip(counts, totals, strict=True))
+
+
 class Model:
     """Log frequencies by language of the words and n-grams kept; scores texts."""
 
     def __init__(self, languages: list[str], prior: list[int], words: dict[str, list[int]], pieces: dict[str, list[int]], word_total: list[int], piece_total: dict[int, list[int]]):
-        self.languages, self.words, self.pieces = languages, words, pieces
-        self.word_total, self.piece_total = word_total, piece_total
-        self.prior = prior
-
-    def _logs(self, counts: list[int], totals: list[int], kinds: int) -> tuple[float, ...]:
-        return tuple(math.log((c + 0.5) / (t + 0.5 * kinds)) for c, t in zip(counts, totals, strict=True))
+        self.languages, self.prior = languages, prior
+        self.words = {w: _logs(c, word_total, len(words)) for w, c in words.items()}
+        self.pieces = {g: _logs(c, piece_total[len(g)], len(pieces)) for g, c in pieces.items()}
 
     def scorer(self):
         """text -> (language, score). The score is the winner's posterior on the mean evidence of a word, counted for
         as many words as are known, 20 at most, so that long texts don't all score 1."""
-        n_words, n_pieces = max(1, len(self.words)), max(1, len(self.pieces))
-        known = {w: self._logs(c, self.word_total, n_words) for w, c in self.words.items()}
-        parts = {g: self._logs(c, self.piece_total[len(g)], n_pieces) for g, c in self.pieces.items()}
+        known, parts = self.words, self.pieces
         names, kinds = self.languages, len(self.languages)
         total = sum(self.prior) or 1
         cache: dict[str, tuple[float, ...]] = {}
