@@ -145,20 +145,27 @@ def distinct_parts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id",
             total.clear()
             return out
 
+        plain: Counter[str] = Counter()
+        other: Counter[str] = Counter()
+
+        def split() -> None:
+            for words, mark in ((plain, SPACE), (other, "")):
+                for w, n in words.items():
+                    for part in parts.of(mark + w):
+                        total[part] += n
+                words.clear()
+
         for b in batches_:
-            plain: Counter[str] = Counter()
-            other: Counter[str] = Counter()
             for text in b.column(0).to_pylist():
                 if parts.plain(text):
                     plain.update(text.split(" "))
                 else:
                     other.update(parts.words(text))
-            for words, mark in ((plain, SPACE), (other, "")):
-                for w, n in words.items():
-                    for part in parts.of(mark + w):
-                        total[part] += n
-            if len(total) > REMEMBERED:
-                yield flush()
+            if len(plain) + len(other) > REMEMBERED:
+                split()
+                if len(total) > REMEMBERED:
+                    yield flush()
+        split()
         yield flush()
 
     found = _texts(docs, id_col, text_col).select("_text").mapInArrow(count, "word string, n long")
@@ -168,12 +175,13 @@ def distinct_parts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id",
 def lattice(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
     """word and edges (end, start, score, id) of distinct(word): the pieces found; id is null for a character without one.
 
-    The join is with a table of fixed size, and explode keeps a word's rows where they are, so nothing is shuffled.
+    The words alone are dealt out by hash; the join is with a table of fixed size, and explode keeps a word's rows where
+    they are, so neither substrings nor edges are shuffled.
     """
     spark = distinct.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     n = F.length("word")
-    cut = distinct.select("word", F.explode(F.sequence(F.lit(1), n)).alias("end"))
+    cut = distinct.repartition("word").select("word", F.explode(F.sequence(F.lit(1), n)).alias("end"))
     cut = cut.select("word", "end", F.explode(F.sequence(F.greatest(F.col("end") - vocabulary.longest, F.lit(0)), F.col("end") - 1)).alias("start"))
     cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
     found = cut.join(F.broadcast(vocabulary.table(spark)), "piece", "left").filter("id is not null or end - start = 1")
