@@ -25,6 +25,12 @@ def unescape(text: Column) -> Column:
     return reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), ESCAPES[:0:-1] + ESCAPES[:1], text)
 
 
+def _join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A shuffled join. Tables of ids and counters are tiny as files, from which the planner would take them for small
+    and broadcast them, although their rows are as many as the input's."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """The nodes of the best root-to-leaf paths of nodes(tree, node, parent, score): tree, path, pos, node, path_score.
 
@@ -35,23 +41,25 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """
     own = nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("s"), "parent")
     there = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    up = own.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "s", F.lit(1).cast("long").alias("d"))
+    up = _join(own, there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "s", F.lit(1).cast("long").alias("d"))
     jumps = [durable(up)]
     pending, before = jumps[0].filter("up is not null").count(), None
     while pending and pending != before:
-        a, b = jumps[-1], jumps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("d").alias("d2"))
-        step = a.join(b, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
-        jumps.append(durable(step))
+        last = jumps[-1]
+        far = last.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("d").alias("d2"))
+        step = _join(last.filter("up is not null"), far, ["tree", "up"])  # rows that have reached their root stay as they are
+        step = step.select("tree", "node", F.col("up2").alias("up"), (F.col("s") + F.col("s2")).alias("s"), (F.col("d") + F.col("d2")).alias("d"))
+        jumps.append(durable(last.filter("up is null").select("tree", "node", "up", "s", "d").unionByName(step)))
         pending, before = jumps[-1].filter("up is not null").count(), pending
     total = jumps[-1].filter("up is null")
     inner = nodes.filter("parent is not null").select("tree", F.col("parent").alias("node"))
-    leaves = total.join(inner, ["tree", "node"], "left_anti").withColumn("path_score", F.col("s") / F.col("d"))
+    leaves = _join(total, inner, ["tree", "node"], "left_anti").withColumn("path_score", F.col("s") / F.col("d"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "node"))
-    chosen = leaves.withColumn("path", rank).filter(F.col("path") <= per_tree).select("tree", "path", "node", "path_score")
+    chosen = durable(leaves.withColumn("path", rank).filter(F.col("path") <= per_tree).select("tree", "path", "node", "path_score"))
     for jump in jumps[:-1] if len(jumps) > 1 else []:
-        above = chosen.join(jump.filter("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "path", F.col("up").alias("node"), "path_score")
-        chosen = chosen.unionByName(above)
-    return chosen.join(total.select("tree", "node", "d"), ["tree", "node"]).select("tree", "path", F.col("d").alias("pos"), "node", "path_score")
+        above = _join(chosen, jump.filter("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "path", F.col("up").alias("node"), "path_score")
+        chosen = durable(chosen.unionByName(above))  # else the plan doubles at each step
+    return _join(chosen, total.select("tree", "node", "d"), ["tree", "node"]).select("tree", "path", F.col("d").alias("pos"), "node", "path_score")
 
 
 def format_paths(turns: DataFrame, learn: str = "assistant") -> DataFrame:
@@ -93,6 +101,7 @@ def conversations_as_trees(conversations: DataFrame) -> DataFrame:
 
 def format_trees(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """The best paths of nodes(tree, node, parent, score, role, text): conv (tree, path), formatted, mask."""
+    nodes = durable(nodes)
     paths = best_paths(nodes, per_tree)
-    turns = paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    turns = _join(paths, nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     return format_paths(turns.select(F.struct("tree", "path").alias("conv"), "pos", "role", "text"))
