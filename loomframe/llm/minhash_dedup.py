@@ -3,10 +3,13 @@
 A text is the set of its distinct word shingles. Texts of equal sets form a class, and classes are what is joined.
 Each tree sends a class down paths: at a node some positions of the signature are chosen by the node's own hash, and
 the minwise tokens there name the children. Small nodes are compared exhaustively by signature, larger ones branch
-on. Nodes that stay large to the last level hold texts that agree all along their path; there each text is compared
-with the node's first one and with its predecessors, which is enough to connect them. Independent trees are repeated
-until a pair at the threshold meets with the recall aimed at. What meets is confirmed with the full sets, each of
-which travels once for every small block of pairs.
+on, at every level into as many children as keep a pair at the threshold together in one of them on average.
+Independent trees are repeated until such a pair meets with the recall aimed at. What meets is confirmed with the full
+sets, each of which travels once for every small block of pairs.
+
+Nodes that stay large to the last level hold texts that agree all along their path. There each text is first compared
+with the node's first one and with its predecessors, which joins most of a group of near copies. All texts of such
+nodes are then joined exactly, by a prefix filter on their full sets, but for pairs that are in one component already.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from loomframe.llm.common import durable, per_text, small
 WORDS, PERCENT = 5, 80
 #: Trees, positions of a signature, levels, documents of a node that are compared exhaustively, pairs of a hub in a block.
 TREES, POSITIONS, LEVELS, LEAF, CHUNK = 10, 32, 6, 64, 256
+#: Counters of shingles that order prefixes, rows of a shingle that are compared at once.
+COUNTERS, BLOCK = 1 << 20, 1024
 #: Share of the signature that must agree for a pair to be confirmed: four deviations below the threshold.
 AGREE = 16
 
@@ -114,6 +119,11 @@ def _child(node: np.ndarray, sig: np.ndarray, salt: int) -> np.ndarray:
         return mix(pick ^ mix(token * _K2 + pos))
 
 
+def _forks(node: np.ndarray) -> np.ndarray:
+    """Every fourth node has two children: 1.25 on average, of which a pair at the threshold shares one."""
+    return (mix(node ^ _K2) & _U(3)) == 0
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -130,7 +140,7 @@ def _roots(parts: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBat
             first = [(_child(root, sig, 1), None)] + ([(_child(root, sig, 2), None)] if tree % 4 == 0 else [])
             for node, _ in first:
                 yield pa.RecordBatch.from_arrays([_signed(_child(node, sig, 1)), *b.columns], NODE)
-                more = np.flatnonzero((mix(node ^ _K2) & _U(3)) == 0)
+                more = np.flatnonzero(_forks(node))
                 if len(more):
                     part = b.take(pa.array(more))
                     yield pa.RecordBatch.from_arrays([_signed(_child(node[more], sig[more], 2)), *part.columns], NODE)
@@ -153,16 +163,20 @@ def _pairs(node, a, b) -> pa.RecordBatch:
 
 
 def _split(parts: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node: pairs of small nodes; rows one level down (b null) of others, or at the last level hub pairs."""
+    """Rows sorted by node: pairs of small nodes; of others rows one level down (b null), or at the last level their rows and hub pairs."""
     held: pa.Table | None = None
     big, hub, tail, seen = None, None, None, 0
 
     def deeper(node, c, n, raw, sig):
         nonlocal hub, tail, seen
         if not last:
-            below = _child(node.view(np.uint64), sig, 1)
-            yield pa.RecordBatch.from_arrays([_signed(below), pa.array(c, pa.int64()), pa.nulls(len(c), pa.int64()), pa.array(n, pa.int64()), raw], FOUND)
+            here = node.view(np.uint64)
+            for salt, of in ((1, np.arange(len(c))), (2, np.flatnonzero(_forks(here)))):
+                if len(of):
+                    below = _child(here[of], sig[of], salt)
+                    yield pa.RecordBatch.from_arrays([_signed(below), pa.array(c[of], pa.int64()), pa.nulls(len(of), pa.int64()), pa.array(n[of], pa.int64()), raw.take(pa.array(of))], FOUND)
             return
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(c), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(c), pa.binary())], FOUND)
         if hub is None:
             hub, tail, seen = (c[:1], n[:1], sig[:1]), (c[:0], n[:0], sig[:0]), 0
         rows = [np.concatenate([h, t, x]) for h, t, x in zip(hub, tail, (c, n, sig), strict=True)]
@@ -217,8 +231,9 @@ def _split(parts: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBat
         yield from runs(held, True)
 
 
-def candidates(classes: DataFrame, trees: int = TREES, levels: int = LEVELS) -> DataFrame:
-    """Pairs of classes(c, n, sig) that meet in a tree and look alike: a < b, and the block in which they met."""
+def candidates(classes: DataFrame, trees: int = TREES, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes(c, n, sig) that meet in a tree and look alike: a < b, and the block in which they met; and the
+    classes (c) of nodes that stay large, of which not all pairs have met."""
     schema = "node long, c long, n long, sig binary"
     rows = classes.select("c", "n", "sig").mapInArrow(lambda parts: _roots(parts, trees), schema)
     found = None
@@ -231,7 +246,7 @@ def candidates(classes: DataFrame, trees: int = TREES, levels: int = LEVELS) ->
         rows = out.filter("b is null").select("node", F.col("a").alias("c"), "n", "sig")
         if last or rows.isEmpty():
             break
-    return found.groupBy("a", "b").agg(F.min("node").alias("block"))
+    return found.groupBy("a", "b").agg(F.min("node").alias("block")), rows.select("c").distinct()
 
 
 def _confirmed(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -268,15 +283,18 @@ def _confirmed(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     yield batch()
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b) of classes(c, rep, n, sig) whose sets reach the threshold."""
-    pairs = durable(candidates(classes))
+def _texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id and _text of the documents among reps(rep)."""
+    reps = durable(reps.select("rep").distinct())
+    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    return texts.join(small(reps), texts["_id"] == reps["rep"], "left_semi")
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs(a, b, block) of classes(c, rep, n, sig) whose sets reach the threshold."""
     sides = pairs.select("block", F.col("a").alias("c"), F.col("b").alias("d")).unionByName(pairs.select("block", F.col("b").alias("c"), F.lit(None).cast("long").alias("d")))
     needed = durable(sides.groupBy("block", "c").agg(F.collect_list("d").alias("partners")))
-    wanted = needed.select("c").distinct().join(classes.select("c", "rep"), "c").select("rep").distinct()
-    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    wanted = durable(wanted)
-    texts = texts.join(small(wanted), texts["_id"] == wanted["rep"], "left_semi")
+    texts = _texts(docs, needed.select("c").distinct().join(classes.select("c", "rep"), "c"), id_col, text_col)
 
     def make():
         shingles = shingles_of(words)
@@ -292,6 +310,113 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int = PERCEN
     return rows.mapInArrow(lambda parts: _confirmed(parts, percent), "a long, b long").distinct()
 
 
+def _counters(texts: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of the texts' sets fall on each counter."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingles_of(words)
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for b in parts:
+            for text in b.column(0).to_pylist():
+                np.add.at(total, (shingles(text or "") & _U(COUNTERS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+    found = texts.select(F.col("_text").cast("string")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+MET = ["a", "b", "block"]
+
+
+def _met(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, across, slot, c, n, pos, comp) sorted by key: pairs of a key that are of two components and, by their
+    sizes and the place of the shingle in their prefixes, can reach the threshold; across slots only if so marked."""
+
+    def pairs(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, across, slot, c, n, pos, comp = x
+        common = np.minimum(n[i] - pos[i], n[j] - pos[j])
+        ok = (comp[i] != comp[j]) & (~across[i] | (slot[i] != slot[j])) & ((100 + percent) * common >= percent * (n[i] + n[j]))
+        i, j = i[ok], j[ok]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in (np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), key[i])], MET)
+
+    def runs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = [col.combine_chunks().to_numpy(zero_copy_only=False) for col in t.columns]
+        starts = np.r_[0, np.flatnonzero(np.diff(x[0])) + 1]
+        sizes = np.diff(np.r_[starts, len(x[0])])
+        two = starts[sizes == 2]
+        yield from pairs(x, two, two + 1)
+        for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            if (x[6][a : a + n] != x[6][a]).any():
+                for k in range(a, a + n - 1, BLOCK):
+                    i, j = np.triu_indices(min(BLOCK, a + n - k), 1, a + n - k)
+                    yield from pairs(x, i + k, j + k)
+
+    held: pa.Table | None = None
+    for b in parts:
+        if b.num_rows:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            key = t.column(0).combine_chunks().to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from runs(t.slice(0, cut))
+            held = t.slice(cut)
+    if held is not None:
+        yield from runs(held)
+
+
+def joined(docs: DataFrame, classes: DataFrame, words: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All pairs (a, b, block) of classes(c, rep, comp) that are of two components and can reach the threshold.
+
+    Sets are ordered by how common their shingles are, rarest first; a pair at the threshold shares a shingle of both
+    prefixes. What many texts share comes last and is compared only where sets differ in less than their prefix.
+    """
+    texts = durable(_texts(docs, classes, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(_counters(texts, words))
+
+    def make():
+        shingles, counts = shingles_of(words), shared.value
+
+        def one(text: str) -> tuple:
+            x = shingles(text)
+            often = counts[(x & _U(COUNTERS - 1)).astype(np.int64)]
+            first = np.lexsort((x, often))[: len(x) + percent * len(x) // -100 + 1]
+            return digest(x)[0], len(x), int((often[first] <= BLOCK).sum()), x[first].view(np.int64)
+
+        return one
+
+    sets = per_text(texts, make, {"c": "long", "n": "long", "light": "long", "tokens": "array<long>"}, "_id", "_text").dropDuplicates(["c"])
+    sets = durable(sets.join(small(classes.select("c", "comp")), "c").select("c", "n", "comp", "light", "tokens"))
+    rows = sets.select("c", "n", "comp", "light", F.posexplode("tokens").alias("pos", "token"))
+    light = rows.filter("pos < light").select(F.col("token").alias("key"), F.lit(False).alias("across"), F.lit(0).cast("long").alias("slot"), "c", "n", F.col("pos").cast("long"), "comp")
+    heavy = rows.filter("pos >= light")
+    slots = F.ceil(F.count(F.lit(1)) / BLOCK).cast("long")
+    spread = durable(heavy.groupBy("token").agg(slots.alias("slots"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("token", "slots"))
+    dealt = heavy.join(small(spread), "token").withColumn("slot", F.pmod(F.xxhash64("c"), F.col("slots")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    key = F.xxhash64("token", F.least("slot", "other"), F.greatest("slot", "other"))
+    dealt = dealt.select(key.alias("key"), (F.col("slot") != F.col("other")).alias("across"), "slot", "c", "n", F.col("pos").cast("long"), "comp")
+    met = light.unionByName(dealt).repartition("key").sortWithinPartitions("key").mapInArrow(lambda parts: _met(parts, percent), "a long, b long, block long")
+    return met.groupBy("a", "b").agg(F.min("block").alias("block"))
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a, b) of classes(c, rep, n, sig) whose sets reach the threshold; of large nodes, enough for components."""
+    pairs, crowded = candidates(classes)
+    first = durable(confirmed(docs, classes, durable(pairs), words, percent, id_col, text_col))
+    crowded = durable(crowded)
+    if crowded.isEmpty():
+        return first
+    roots = components(first)
+    among = crowded.join(classes.select("c", "rep"), "c").join(roots, "c", "left").select("c", "rep", F.coalesce("root", "c").alias("comp"))
+    more = durable(joined(docs, durable(among), words, percent, id_col, text_col))
+    return first.unionByName(confirmed(docs, classes, more, words, percent, id_col, text_col))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """c and root (the smallest member) for every end of edges(a, b), by alternating large and small stars."""
     edges = durable(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct())

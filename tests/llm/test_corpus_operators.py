@@ -103,6 +103,35 @@ def test_near(spark, n):
     assert sorted(tuple(r)[:4] for r in got.collect()) == near_by_force(rows, n)
 
 
+def test_near_among_texts_that_share_a_passage(spark):
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(240))
+    tails = [[f"t{k}x{j}" for j in range(39)] for k in range(600)]  # any two texts are alike by about 0.75
+    for a, b in zip(range(0, 60, 2), range(1, 60, 2), strict=True):
+        same = rng.randint(11, 17)  # pairs by 0.81 to 0.85
+        tails[b][:same] = tails[a][:same]
+    rows = list(zip(rng.sample(range(10_000), 600), [f"{passage} {' '.join(t)}" for t in tails], strict=True))
+    want = near_by_force(rows, 5)
+    assert sum(not r[3] for r in want) == 30
+    assert sorted(tuple(r)[:4] for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()) == want
+
+
+def test_near_joins_across_blocks_of_a_common_shingle(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rows = corpus(3)
+    sets = [shingle_set(t, 5) for _, t in rows]
+    found = {}
+    for (d, t), own in zip(rows, sets, strict=True):
+        if own:
+            x = minhash_dedup.shingles_of(5)(t)
+            found.setdefault(minhash_dedup.digest(x)[0], (d, own))
+    classes = spark.createDataFrame([(c, d, c) for c, (d, _) in found.items()], "c long, rep long, comp long")
+    got = {(r.a, r.b) for r in minhash_dedup.joined(frame(spark, rows), classes, 5).collect()}
+    names = sorted(found)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 100 * len(found[a][1] & found[b][1]) >= 80 * len(found[a][1] | found[b][1])}
+    assert want and want <= got
+
+
 def test_near_edges(spark):
     none = frame(spark, corpus()).limit(0)
     assert minhash_dedup.near_duplicates(none).count() == 0
