@@ -1,4 +1,4 @@
-"""Licence texts by a positional index of rare words: look-up, relative positions, then mandatory phrases."""
+"""Licence texts by a positional index of licence words: look-up, relative positions, and mandatory phrases."""
 
 from __future__ import annotations
 
@@ -42,10 +42,10 @@ def words(text: str) -> list[bytes]:
 class Index:
     """Postings (template, position) of every template word, and the words' IDF over the templates."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE, lookups: int = 12, share: float = 0.6, slack: int = 3):
+    def __init__(self, templates=TEMPLATES, base=BASE, share: float = 0.6, slack: int = 3):
         self.templates = [(label, words(text), [words(p) for p in must]) for label, text, must in templates]
         self.base = [(words(p), label) for p, label in base]
-        self.lookups, self.share, self.slack = lookups, share, slack
+        self.share, self.slack = share, slack
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, ws, _) in enumerate(self.templates):
             for i, w in enumerate(ws):
@@ -82,23 +82,27 @@ class Index:
     def matches(self, ws: list[bytes], at: dict[bytes, list[int]]) -> tuple[set[str], float]:
         """Labels whose template lines up with the text, and the best share of a template's IDF that lines up.
 
-        The rarest licence words that the text holds vote for (template, start); starts with votes of two words are
-        verified word by word, with a slack for inserted words, and by the mandatory phrases near them.
+        All licence words that the text holds vote for (template, start), for templates whose mandatory phrases the text
+        holds and starts that have the first of them in reach; starts with votes of two words are verified word by word,
+        with a slack for inserted words, and by the mandatory phrases near them.
         """
-        known = sorted((w for w in at if w in self.idf), key=lambda w: (-self.idf[w], w))
+        near: dict[int, set[int]] = {}
+        for t, (_, tw, must) in enumerate(self.templates):
+            found = [self.places(at, ws, p) for p in must]
+            if all(found):
+                near[t] = {s for i in found[0] for s in range(i - len(tw) - self.slack, i + self.slack + 1)}
         votes: Counter[tuple[int, int]] = Counter()
-        for w in known[: self.lookups]:
-            for t, q in self.postings[w]:
-                votes.update({(t, i - q) for i in at[w]})
-        labels, best, checked = set(), 0.0, set()
+        if near:
+            for w in at:
+                votes.update({(t, i - q) for t, q in self.postings.get(w, ()) if t in near for i in at[w] if i - q in near[t]})
+        labels, best = set(), 0.0
         for (t, start), n in votes.items():
             label, tw, must = self.templates[t]
-            if n < min(2, len(tw)) or (t, start // (self.slack + 1)) in checked:
+            if n < min(2, len(tw)):
                 continue
-            checked.add((t, start // (self.slack + 1)))
             lo, hi = max(0, start - self.slack), start + len(tw) + self.slack
             here = ws[lo:hi]
-            hit = sum(self.idf[w] for i, w in enumerate(tw) if w in ws[max(0, start + i - self.slack) : start + i + self.slack + 1])
+            hit = sum(self.idf[w] for i, w in enumerate(tw) if w in ws[max(0, start + i - self.slack) : max(0, start + i + self.slack + 1)])
             share = hit / sum(self.idf[w] for w in tw)
             phrases = all(any(here[i : i + len(p)] == p for i in range(len(here) - len(p) + 1)) for p in must)
             if share >= self.share and phrases:

@@ -116,6 +116,21 @@ def test_licence_templates():
     assert index.scan("the software is subject to a license")[5] == ""
 
 
+PROSE = "It can be that a file has some form and is an exception, or that it comes into some code. In part we are free to use any of these for the work and to do with them what we like, but no more. "
+
+
+@pytest.mark.parametrize("template", license_scan.TEMPLATES, ids=lambda t: t[1][:30])
+def test_licence_notice_inside_prose(template):
+    label, text, _ = template
+    found = license_scan.Index().scan(PROSE * 5 + text + ". " + PROSE * 5)
+    assert label in found[5].split(",") and found[6] == 1.0
+
+
+def test_licence_file_of_all_templates():
+    found = license_scan.Index().scan(PROSE + f"\n{PROSE}\n".join(text for _, text, _ in license_scan.TEMPLATES))
+    assert {label for label, _, _ in license_scan.TEMPLATES} <= set(found[5].split(","))
+
+
 def test_licence_rows(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (2, "all rights reserved"), (None, "")], "doc_id long, text string").selectExpr("*", "1 as labels")
     got = sorted(map(tuple, license_scan.scan(docs).collect()), key=str)
