@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -27,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and the master is local, a
+    temporary one of our own; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="loomframe-")
@@ -39,13 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: short lineage, safe from lost executors."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/loomframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_forget)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()  # what nothing holds any more gives up its shuffle files
+    return spark.read.schema(schema).parquet(path)
 
 
 def _forget() -> None:
@@ -67,9 +74,32 @@ def text_of(docs: DataFrame, name: str = "text") -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch of texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Holds a setting of the session for what is evaluated inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+#: Rows and bytes of an Arrow batch of texts, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+
+
+def batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch of texts holds. Tighter bounds of the session stay; they are read when the result is
+    worked out, so these stay set."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return sentencepiece_lattice.summary(docs, sentencepiece_lattice.Pieces.read(public_tokenizers.path("piece_bpe_32k.model")))
+    return sentencepiece_lattice.encode(docs, sentencepiece_lattice.Pieces.read(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

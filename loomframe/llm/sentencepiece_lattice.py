@@ -2,15 +2,20 @@
 
 Texts are parted at spaces and wherever no piece spans two neighbouring characters, which changes no result; the
 distinct parts of all documents are counted. They are exploded into substrings no longer than the longest piece, an
-equi-join with the piece table leaves the lattice's edges, edges are grouped by part, and a fold with higher-order
-functions picks the path: for a unigram model the Viterbi fold, which gives the best sum of piece scores; for a BPE model
-a fold that joins the best pair of neighbours at each step, as no sum of scores gives that model's own segmentation.
-Documents then look their parts up: frequent ones in a broadcast table of fixed size, the others by a shuffled join.
+equi-join with the piece table leaves the lattice's edges, edges are grouped by part, and a fold picks the path: for a
+unigram model the Viterbi fold with higher-order functions, which gives the best sum of piece scores; for a BPE model a
+fold over the edges by score, which joins neighbours, as no sum of scores gives that model's own segmentation. That one
+runs in Arrow batches, because the lambdas of higher-order functions are interpreted and cost more than all else.
+Documents then look their parts up: frequent ones in a broadcast table of fixed size, the others by a shuffled join,
+after which each document's ids are put together.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import batches, durable, text_of
+from loomframe.llm.common import batches, durable, setting, text_of
 
-#: The mark that stands for a space, parts in the broadcast table at most, and parts that a task remembers.
+#: The mark that stands for a space, parts in the broadcast table at most, and words that a task remembers.
 SPACE, FREQUENT, REMEMBERED = "▁", 200_000, 300_000
-#: Modulus of the digests: terms stay below 2**31 and their sums far below 2**63.
-PRIME = 2**31 - 1
+#: Parts that a task folds, and places of a part that are exploded as one row: a longer part is cut into overlapping rows.
+FOLDED, PLACES = 50_000, 64
+#: Stands in a document's ids for a part that is to be looked up.
+HOLE = 0xFFFFFFFF
 #: Fixed value: how far below the worst piece a character without a piece scores.
 PENALTY = 10.0
 
@@ -97,7 +104,30 @@ class Pieces:
             raise ValueError("a piece spans words: texts can't be parted at spaces")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.pieces), "id int, piece string, score double")
+        """id, piece, score and rank (0 for the best score)."""
+        ranked = sorted(self.pieces, key=lambda x: (-x[2], x[0]))
+        return spark.createDataFrame([(i, p, s, rank) for rank, (i, p, s) in enumerate(ranked)], "id int, piece string, score double, rank long")
+
+    def late(self) -> frozenset[str]:
+        """Pieces that their own characters spell only after a merge of a worse score than theirs.
+
+        While both ends of a piece's place stand, the merges inside are those of its own characters. So all pieces but
+        these either can be made at their turn, when all better merges are made, or never.
+        """
+        score = {p: s for _, p, s in self.pieces}
+        found = set()
+        for piece, own in score.items():
+            left, worst = list(piece), own
+            while len(left) > 1:
+                best = max(((score.get(left[i] + left[i + 1], -math.inf), -i) for i in range(len(left) - 1)))
+                if best[0] == -math.inf:
+                    break
+                i = -best[1]
+                left[i : i + 2] = [left[i] + left[i + 1]]
+                worst = min(worst, best[0])
+            if len(left) == 1 and worst < own:
+                found.add(piece)
+        return frozenset(found)
 
     def byte_table(self, spark: SparkSession) -> DataFrame:
         """id and hex of the UTF-8 bytes of every piece."""
@@ -112,9 +142,19 @@ class Parts:
         vocabulary.check()
         self.pairs = vocabulary.pairs()
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.odd = re.compile(r"[\W\d_]")
 
     def of(self, word: str) -> list[str]:
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        """The word's parts: cut beside characters that are no letters, where no piece spans the cut."""
+        cuts = [0]
+        for m in self.odd.finditer(word):
+            i = m.start()
+            if i > cuts[-1] and word[i - 1 : i + 1] not in self.pairs:
+                cuts.append(i)
+            if word[i : i + 2] not in self.pairs:
+                cuts.append(i + 1)
+        if cuts[-1] < len(word):
+            cuts.append(len(word))
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def words(self, text: str) -> list[str]:
@@ -130,29 +170,20 @@ class Parts:
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     batches(docs.sparkSession)
-    return docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    return docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("_text"))
 
 
-def distinct_parts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The distinct parts of all texts with their counts: word, n. Tasks count before they shuffle."""
+def distinct_words(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataFrame:
+    """The distinct words of all texts with their counts: word, n. Tasks count before they shuffle."""
 
     def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(vocabulary)
-        total: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-            total.clear()
-            return out
-
         plain: Counter[str] = Counter()
         other: Counter[str] = Counter()
 
-        def split() -> None:
+        def flush() -> Iterator[pa.RecordBatch]:
             for words, mark in ((plain, SPACE), (other, "")):
-                for w, n in words.items():
-                    for part in parts.of(mark + w):
-                        total[part] += n
+                yield pa.RecordBatch.from_arrays([pa.array([mark + w for w in words], pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
                 words.clear()
 
         for b in batches_:
@@ -161,32 +192,56 @@ def distinct_parts(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id",
                     plain.update(text.split(" "))
                 else:
                     other.update(parts.words(text))
-            if len(plain) + len(other) > REMEMBERED:
-                split()
-                if len(total) > REMEMBERED:
-                    yield flush()
-        split()
-        yield flush()
-
-    found = _texts(docs, id_col, text_col).select("_text").mapInArrow(count, "word string, n long")
+                if len(plain) + len(other) > REMEMBERED:
+                    yield from flush()
+        yield from flush()
+
+    batches(docs.sparkSession)
+    found = docs.select(text_of(docs, text_col).alias("_text")).mapInArrow(count, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word and edges (end, start, score, id) of distinct(word): the pieces found; id is null for a character without one.
+def parts_of(words: DataFrame, vocabulary: Pieces, tasks: int) -> DataFrame:
+    """The distinct parts of words(word, n) with their counts and 128 bits of hash: k, k2, word, n, dealt over so many tasks by k."""
+
+    def split(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(vocabulary)
+        for b in batches_:
+            total: Counter[str] = Counter()
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for part in parts.of(word):
+                    total[part] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    found = words.mapInArrow(split, "word string, n long")
+    keyed = found.select(F.xxhash64("word").alias("k"), F.xxhash64("word", F.lit(1)).alias("k2"), "word", "n")
+    return keyed.repartition(tasks, "k").groupBy("k", "k2", "word").agg(F.sum("n").alias("n"))
+
 
-    The words alone are dealt out by hash; the join is with a table of fixed size, and explode keeps a word's rows where
-    they are, so neither substrings nor edges are shuffled.
+def _substrings(distinct: DataFrame, vocabulary: Pieces, least: int) -> DataFrame:
+    """k, k2 and n of distinct(k, k2, word, n) with a row a piece of `least` characters or more at start to end, a row a
+    character if least is 1, and one row with the word itself.
+
+    The join is with a table of fixed size, and explode keeps a word's rows where they are, so neither substrings nor edges
+    are shuffled. Rows of substrings carry some PLACES characters, not the word, so that long words stay linear.
     """
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
-    n = F.length("word")
-    cut = distinct.repartition("word").select("word", F.explode(F.sequence(F.lit(1), n)).alias("end"))
-    cut = cut.select("word", "end", F.explode(F.sequence(F.greatest(F.col("end") - vocabulary.longest, F.lit(0)), F.col("end") - 1)).alias("start"))
-    cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
-    found = cut.join(F.broadcast(vocabulary.table(spark)), "piece", "left").filter("id is not null or end - start = 1")
+    blocks = F.sequence(F.lit(0), F.floor((F.length("word") - 1) / PLACES).cast("int"))
+    cut = lambda i: F.struct((i * PLACES).alias("base"), F.lit(None).cast("string").alias("own"), F.substr(F.col("word"), i * PLACES + 1, F.lit(PLACES + vocabulary.longest - 1)).alias("text"))
+    itself = F.array(F.struct(F.lit(0).alias("base"), F.col("word").alias("own"), F.lit("").alias("text")))
+    rows = distinct.select("k", "k2", "n", F.explode(F.concat(itself, F.transform(blocks, cut))).alias("c")).select("k", "k2", "n", "c.*", F.length("c.text").alias("size"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.lit(PLACES), F.col("size")) - 1, F.lit(0)))).alias("at"))
+    ends = F.when(F.col("own").isNotNull(), F.array(F.lit(0))).when(F.col("at") + least <= F.col("size"), F.sequence(F.col("at") + least, F.least(F.col("size"), F.col("at") + vocabulary.longest)))
+    rows = rows.select("*", F.explode(ends).alias("to")).withColumn("piece", F.substring("text", F.col("at") + 1, F.col("to") - F.col("at")))
+    found = rows.select("k", "k2", "n", "own", "piece", (F.col("base") + F.col("at")).alias("start"), (F.col("base") + F.col("to")).alias("end"))
+    found = found.join(F.broadcast(vocabulary.table(distinct.sparkSession)), "piece", "left")
+    return found.filter("id is not null or own is not null" + (" or end - start = 1" if least == 1 else ""))
+
+
+def lattice(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
+    """word, n and edges (end, start, score, id) of distinct(k, k2, word, n); id is null for a character without a piece."""
     edge = F.struct("end", "start", F.coalesce("score", F.lit(vocabulary.worst - PENALTY)).alias("score"), "id")
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edges = F.sort_array(F.collect_list(F.when(F.col("own").isNull(), edge)))
+    return _substrings(distinct, vocabulary, 1).groupBy("k", "k2").agg(F.max("own").alias("word"), F.max("n").alias("n"), edges.alias("edges")).drop("k", "k2")
 
 
 def best_path(edges: Column) -> Column:
@@ -207,43 +262,90 @@ def best_path(edges: Column) -> Column:
     return F.aggregate(edges, origin, step)
 
 
-def merged(longer: Column, length: Column) -> Column:
-    """Bounds of the pieces after all merges along the edges of more than one character: at each step the neighbours
-    whose join has the best score become one, the leftmost of equal ones."""
+#: Bits of an edge's length and start in a packed edge, above which its rank stands.
+LENGTH_BITS, START_BITS = 8, 34
 
-    def step(cuts: Column, _: Column) -> Column:
-        after_next = lambda e: F.get(cuts, F.array_position(cuts, e["start"]).cast("int") + 1)
-        fits = F.filter(longer, lambda e: (F.array_position(cuts, e["start"]) > 0) & (after_next(e) == e["end"]))
-        top = F.array_max(F.transform(fits, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
-        done = F.transform(F.array(top), lambda t: F.when(t.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= -t["left"]) | (c >= t["end"]))))
-        return F.get(done, F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.sequence(F.lit(0), length), step)
+def merges(ranks: tuple[int, ...], late: frozenset[int]) -> Callable[[list[int], int], list[tuple[int, int]]]:
+    """(packed edges of a part, its length) -> the pieces after all merges, as (place, id or -1 for a character).
 
+    One pass over the edges by score, then place, makes every merge whose two neighbours are there at its turn. If an edge
+    of the part is `late` (see Pieces.late), the pass starts again after each merge. ranks has the id of each rank.
+    """
+    starts, lengths = (1 << START_BITS) - 1, (1 << LENGTH_BITS) - 1
+
+    def run(packed: list[int], length: int) -> list[tuple[int, int]]:
+        packed.sort()
+        each = [(x >> LENGTH_BITS + START_BITS, x >> LENGTH_BITS & starts, x & lengths) for x in packed]
+        after = [*range(1, length + 1), -1]  # where the piece that starts here ends; 0 where none does
+        own = [-1] * length
+        again = bool(late) and any(rank in late for rank, _, _ in each)
+        while True:
+            made = False
+            for rank, a, n in each:
+                if (mid := after[a]) and after[mid] == a + n:
+                    after[a], after[mid], own[a] = a + n, 0, ranks[rank]
+                    made = True
+                    if again:
+                        break
+            if not (again and made):
+                break
+        return [(i, own[i]) for i in range(length) if after[i]]
 
-def encode_words(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """word and ids of distinct(word)."""
-    edges = lattice(distinct, vocabulary)
-    if vocabulary.merges:
-        found = edges.select("word", "edges", F.filter("edges", lambda e: e["end"] - e["start"] > 1).alias("_longer"))
-        cuts = found.select("word", "edges", F.when(F.size("_longer") > 0, merged(F.col("_longer"), F.length("word"))).otherwise(F.sequence(F.lit(0), F.length("word"))).alias("cuts"))
-
-        def piece(k: Column) -> Column:
-            a, b = F.get(F.col("cuts"), k - 1), F.get(F.col("cuts"), k)
-            here = F.filter(F.col("edges"), lambda e: (e["start"] == a) & (e["end"] == b))
-            return F.struct(a.alias("s"), b.alias("e"), F.get(here, F.lit(0))["id"].alias("id"))
-
-        path = cuts.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), piece).alias("path"))
-    else:
-        done = edges.select("word", best_path(F.col("edges")).alias("grid"))
-        start = F.struct(F.length("word").alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("p"))
+    return run
 
-        def back(state: Column, _: Column) -> Column:
-            n = F.get(F.col("grid"), state["at"])
-            piece = F.struct(n["back"].alias("s"), state["at"].alias("e"), n["id"].alias("id"))
-            return F.when(state["at"] == 0, state).otherwise(F.struct(n["back"].alias("at"), F.concat(F.array(piece), state["p"]).alias("p")))
 
-        path = done.select("word", F.aggregate(F.col("grid"), start, back)["p"].alias("path"))
+def _merged(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
+    """word, n and ids of distinct(k, k2, word, n) by merges."""
+    if vocabulary.longest >> LENGTH_BITS or len(vocabulary.pieces) >> 62 - LENGTH_BITS - START_BITS:
+        raise ValueError("the vocabulary doesn't fit a packed edge")
+    left = lambda c, by: F.call_function("shiftleft", F.col(c).cast("long"), F.lit(by))
+    packed = F.when(F.col("own").isNull(), left("rank", LENGTH_BITS + START_BITS) + left("start", LENGTH_BITS) + F.col("end") - F.col("start"))
+    grouped = _substrings(distinct, vocabulary, 2).groupBy("k", "k2").agg(F.max("own").alias("word"), F.max("n").alias("n"), F.collect_list(packed).alias("edges")).drop("k", "k2")
+    ranked = sorted(vocabulary.pieces, key=lambda x: (-x[2], x[0]))
+    late = vocabulary.late()
+    late_ranks = frozenset(r for r, (_, p, _) in enumerate(ranked) if p in late)
+    ids, single = tuple(i for i, _, _ in ranked), {p: i for i, p, _ in ranked if len(p) == 1}
+
+    def spelled(c: str) -> list[int]:
+        return [vocabulary.bytes[x] for x in c.encode("utf-8", "surrogatepass")] if vocabulary.bytes else [vocabulary.unknown]
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = merges(ids, late_ranks)
+        for b in parts:
+            lists, flat, at, sizes = b.column(2), b.column(2).flatten().to_pylist(), 0, [0]
+            own: list[int] = []
+            for word, n in zip(b.column(0).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+                for i, x in run(flat[at : at + n], len(word)):
+                    if x >= 0:
+                        own.append(x)
+                    elif (x := single.get(word[i])) is not None:
+                        own.append(x)
+                    else:
+                        own += spelled(word[i])
+                at += n
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(own, pa.int32()))], ["word", "n", "ids"])
+
+    return grouped.mapInArrow(fold, "word string, n long, ids array<int>")
+
+
+def _best_paths(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
+    """word, n and path (s, e, id) of distinct(k, k2, word, n) by the best sum of scores."""
+    done = lattice(distinct, vocabulary).select("word", "n", best_path(F.col("edges")).alias("grid"))
+    start = F.struct(F.length("word").alias("at"), F.array().cast("array<struct<s:int,e:int,id:int>>").alias("p"))
+
+    def back(state: Column, _: Column) -> Column:
+        n = F.get(F.col("grid"), state["at"])
+        piece = F.struct(n["back"].alias("s"), state["at"].alias("e"), n["id"].alias("id"))
+        return F.when(state["at"] == 0, state).otherwise(F.struct(n["back"].alias("at"), F.concat(F.array(piece), state["p"]).alias("p")))
+
+    return done.select("word", "n", F.aggregate(F.col("grid"), start, back)["p"].alias("path"))
+
+
+def _by_viterbi(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
+    """word, n and ids of distinct(k, k2, word, n) by the best sum of scores."""
+    path = _best_paths(distinct, vocabulary)
     raw = lambda p: F.hex(F.encode(F.substr(F.col("word"), p["s"] + 1, p["e"] - p["s"]), "utf-8"))
     if vocabulary.bytes:
         low = vocabulary.bytes[0]
@@ -252,7 +354,15 @@ def encode_words(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
         spelled = lambda p: F.array(F.lit(vocabulary.unknown))
     plain = F.transform("path", lambda p: p["id"])
     full = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNull(), spelled(p)).otherwise(F.array(p["id"]))))
-    return path.select("word", F.when(F.exists(plain, lambda x: x.isNull()), full).otherwise(plain).alias("ids"))
+    return path.select("word", "n", F.when(F.exists(plain, lambda x: x.isNull()), full).otherwise(plain).alias("ids"))
+
+
+def encode_words(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
+    """word, n and ids of distinct(k, k2, word, n), which is dealt out by k; evaluated here and written."""
+    spark = distinct.sparkSession
+    found = (_merged if vocabulary.merges else _by_viterbi)(distinct, vocabulary)
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * FOLDED)), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20000"):
+        return durable(found)
 
 
 def decode(rows: DataFrame, vocabulary: Pieces, key: str = "word") -> DataFrame:
@@ -264,98 +374,137 @@ def decode(rows: DataFrame, vocabulary: Pieces, key: str = "word") -> DataFrame:
     return joined.select(key, F.replace(F.decode(raw, "utf-8"), F.lit(SPACE), F.lit(" ")).alias("text"))
 
 
-def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids of each text. Null and empty texts have no ids; rows that repeat id and text are one."""
+class _Rare:
+    """The parts that a task met and that aren't in the broadcast table, by number."""
 
-    def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(vocabulary)
-        for b in batches_:
-            at, words = [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                found = [p for w in parts.words(text) for p in parts.of(w)] or [None]
-                words += found
-                at += [(k, i) for i in range(len(found))]
-            rows = pa.array([k for k, _ in at], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array([i for _, i in at], pa.int64()), pa.array(words, pa.string())], ["doc_id", "_tie", "_at", "word"])
-
-    given = _texts(docs, id_col, text_col)
-    kind = given.schema["doc_id"].dataType.simpleString()
-    rows = given.mapInArrow(cut, f"doc_id {kind}, _tie long, _at long, word string")
-    known = encode_words(distinct_parts(docs, vocabulary, id_col, text_col).select("word"), vocabulary)
-    found = rows.distinct().join(known, "word", "left").groupBy("doc_id", "_tie").agg(F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("_w"))
-    return found.select("doc_id", F.flatten(F.filter(F.transform("_w", lambda w: w["ids"]), lambda x: x.isNotNull())).alias("ids"))
+    def __init__(self):
+        self.names: list[str] = []
+        self.numbers: dict[str, int] = {}
 
+    def hole(self, part: str) -> bytes:
+        number = self.numbers.setdefault(part, len(self.names))
+        if number == len(self.names):
+            self.names.append(part)
+        return struct.pack("<II", HOLE, number)
 
-def _looked_up(table: Callable[[], dict[str, tuple[int, int]]], vocabulary: Pieces):
-    """Rows of a document: what its known parts sum to (word null), and a row for each part that isn't known."""
 
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, known = Parts(vocabulary), table()
-        cache: dict[str, tuple[int, int, tuple]] = {}
-
-        def facts(word: str) -> tuple[int, int, tuple]:
-            """Pieces and digest of a word's known parts, and the other parts with their number."""
-            n = h = 0
-            rest = []
-            for j, p in enumerate(parts.of(word), 1):
-                if p in known:
-                    n += known[p][0]
-                    h += j * known[p][1]
-                else:
-                    rest.append((j, p))
-            return n, h % PRIME, tuple(rest)
+class _Words(dict):
+    """word -> its ids, 32 bits each; for a part that isn't in the table a hole, followed by the part's number."""
+
+    def __init__(self, mark: str, table: dict[str, bytes], parts: Parts, rare: _Rare):
+        self.mark, self.table, self.parts, self.rare = mark, table, parts, rare
+
+    def __missing__(self, word: str) -> bytes:
+        whole, table, hole = self.mark + word, self.table, self.rare.hole
+        if (found := table.get(whole)) is None:
+            found = b"".join([table.get(p) or hole(p) for p in self.parts.of(whole)])
+        self[word] = found
+        return found
+
+
+ROW = ["row", "doc_id", "ids", "holes", "rare", "seen"]
 
-        def found(word: str) -> tuple[int, int, tuple]:
-            if (x := cache.get(word)) is None:
-                x = facts(word)
-                if len(cache) < REMEMBERED:
-                    cache[word] = x
-            return x
 
-        marked = lambda w: found(SPACE + w)
+def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces, narrow: str):
+    """Rows (row, doc_id, text) as ROW: the ids with holes, for each hole the place of its part among the row's rare
+    parts, those parts, and a hash of the text. A task remembers words up to a bound."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        parts, frequent = Parts(vocabulary), table()
+        rare = _Rare()
+        plain, other = _Words(SPACE, frequent, parts, rare), _Words("", frequent, parts, rare)
         for b in batches_:
-            cols: list[list] = [[] for _ in range(6)]
-            for k, text in enumerate(b.column(1).to_pylist()):
-                each = list(map(marked, text.split(" "))) if parts.plain(text) else list(map(found, parts.words(text)))
-                n = sum(x[0] for x in each)
-                h = np.fromiter((x[1] for x in each), dtype=np.int64, count=len(each))
-                total = int((h * (np.arange(1, len(h) + 1) % PRIME) % PRIME).sum())
-                for c, v in zip(cols, (k, len(each), n, total, None, None), strict=True):
+            cols: list[list] = [[] for _ in range(4)]
+            for text in b.column(2).to_pylist():
+                if len(plain) + len(other) > REMEMBERED:
+                    rare = _Rare()
+                    plain, other = _Words(SPACE, frequent, parts, rare), _Words("", frequent, parts, rare)
+                each = map(plain.__getitem__, text.split(" ")) if parts.plain(text) else map(other.__getitem__, parts.words(text))
+                ids = np.frombuffer(b"".join(each), dtype="<u4")
+                at = np.flatnonzero(ids == HOLE)
+                numbers, own = np.unique(ids[at + 1], return_inverse=True)
+                names = [rare.names[i] for i in numbers.tolist()]
+                left = np.delete(ids, at + 1).astype(narrow).tobytes()
+                for c, v in zip(cols, (left, own.astype("<u4").tobytes(), names, xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
                     c.append(v)
-                for pos, x in enumerate(each, 1):
-                    for j, p in x[2]:
-                        for c, v in zip(cols, (k, None, None, None, pos * j % PRIME, p), strict=True):
-                            c.append(v)
-            rows = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), *[pa.array(c, pa.int64()) for c in cols[1:5]], pa.array(cols[5], pa.string())], ["doc_id", "_tie", "w", "p", "d", "_factor", "word"])
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols, kinds)], ROW)
 
     return run
 
 
-def summary(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """Per document: doc_id, n_words, n_pieces, ids_digest, round_trip (its parts decode to themselves).
-
-    The digest is a sum over words and parts of place times a hash of the part's ids, modulo PRIME. Parts are
-    encoded once over all documents. Rows that repeat id and text are one; null and empty texts have no words. Only
-    parts that are not among the `frequent` most frequent ones are shuffled with their documents.
+def _rare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ROW) as row, at, word: one for each rare part."""
+    for b in parts:
+        lists = b.column(4)
+        n = lists.value_lengths().to_numpy()
+        first = np.repeat(np.cumsum(n) - n, n)
+        at = (np.arange(len(first)) - first).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at), lists.flatten()], ["row", "at", "word"])
+
+
+def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], narrow: str) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, ids, holes, rare, seen, fills) as doc_id, ids, n_pieces, decoded_sha256, round_trip."""
+    from xxhash import xxh3_128_digest
+
+    mark, hole = SPACE.encode(), np.iinfo(narrow).max
+    offsets = lambda n: np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n, dtype=np.int64)])
+    lengths = lambda lists: lists.value_lengths().fill_null(0).to_numpy()
+    within = lambda n: np.arange(int(n.sum())) - np.repeat(offsets(n)[:-1], n)
+    for b in parts:
+        raw, held = b.column(1).to_pylist(), b.column(2).to_pylist()
+        flat = np.frombuffer(b"".join(raw), dtype=narrow)
+        sizes = np.array([len(x) for x in raw], dtype=np.int64) // flat.itemsize
+        fills = b.column(5).flatten()
+        start, n = offsets(lengths(fills)), lengths(fills)
+        at = np.flatnonzero(flat == hole)
+        n_holes = np.array([len(x) for x in held], dtype=np.int64) // 4
+        which = np.frombuffer(b"".join(held), dtype="<u4") + np.repeat(offsets(lengths(b.column(5)))[:-1], n_holes)
+        count = np.ones(len(flat), dtype=np.int64)
+        count[at] = n[which]
+        to = offsets(count)
+        ids = np.empty(int(to[-1]), dtype=np.int32)
+        plain = flat != hole
+        ids[to[:-1][plain]] = flat[plain]
+        inner = within(n[which])
+        ids[np.repeat(to[:-1][at], n[which]) + inner] = fills.flatten().to_numpy()[np.repeat(start[which], n[which]) + inner]
+        ends = to[offsets(sizes)]
+        cols: list[list] = [[] for _ in range(2)]
+        for i, seen in enumerate(b.column(4).to_pylist()):
+            told = b"".join(map(pieces.__getitem__, ids[ends[i] : ends[i + 1]].tolist())).replace(mark, b" ")[1:]
+            cols[0].append(hashlib.sha256(told).hexdigest())
+            cols[1].append(xxh3_128_digest(told) == seen)
+        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([b.column(0), out, pa.array(np.diff(ends)), *map(pa.array, cols, (pa.string(), pa.bool_()))], ["doc_id", "ids", "n_pieces", "decoded_sha256", "round_trip"])
+
+
+def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """Per row of docs: doc_id, ids (32-bit integers), n_pieces, decoded_sha256 (of the text that the ids decode to) and
+    round_trip (that text is the row's own).
+
+    Null and empty texts have no ids. Repeated rows are encoded each, ids of any type pass through, nulls included;
+    other columns are ignored. A text that holds the mark for spaces decodes to spaces there. Parts are encoded once over
+    all documents; only parts that are not among the `frequent` most frequent ones are shuffled, once a document that
+    holds them, and then the documents' ids.
     """
     spark = docs.sparkSession
-    distinct = durable(distinct_parts(docs, vocabulary, id_col, text_col))
-    encoded = durable(encode_words(distinct.select("word"), vocabulary))
-    same = F.col("text") == F.replace(F.col("word"), F.lit(SPACE), F.lit(" "))
-    wrong = decode(encoded, vocabulary).filter(~same).select("word")
-    known = encoded.join(wrong.withColumn("_bad", F.lit(True)), "word", "left")
-    known = durable(known.select("word", F.size("ids").cast("long").alias("_pieces"), F.pmod(F.xxhash64("ids"), F.lit(PRIME)).alias("_hash"), F.coalesce("_bad", F.lit(False)).alias("_bad")))
-    top = distinct.orderBy(F.desc("n"), "word").limit(frequent).select("word")
-    head = {r["word"]: (r["_pieces"], r["_hash"]) for r in known.filter("not _bad").join(F.broadcast(top), "word", "left_semi").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(head)
-    given = _texts(docs, id_col, text_col)
+    words = durable(distinct_words(docs, vocabulary, text_col))
+    tasks = max(1, -(-words.count() // FOLDED))
+    known = encode_words(parts_of(words, vocabulary, tasks), vocabulary)
+    head = known.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
+    shared = spark.sparkContext.broadcast({w: np.array(x, dtype="<u4").tobytes() for w, x in zip(head.column(0).to_pylist(), head.column(1).to_pylist(), strict=True)})
+    pieces = {i: p.encode() for i, p, _ in vocabulary.pieces} | {i: bytes([n]) for n, i in enumerate(vocabulary.bytes)}
+    pieces.setdefault(vocabulary.unknown, " ⁇ ".encode())
+    narrow = "<u2" if max(pieces) < 0xFFFF else "<u4"
+    given = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "_text")
     kind = given.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _tie long, w long, p long, d long, _factor long, word string"
-    rows = durable(given.mapInArrow(_looked_up(lambda: shared.value, vocabulary), schema))
-    near = rows.filter("word is null").select("doc_id", "_tie", "w", "p", "d", F.lit(False).alias("_bad"), F.lit(1).alias("_copy"))
-    far = rows.filter("word is not null").select("doc_id", "_tie", "_factor", "word").join(known, "word")
-    far = far.select("doc_id", "_tie", F.lit(0).cast("long").alias("w"), F.col("_pieces").alias("p"), (F.col("_factor") * F.col("_hash") % PRIME).alias("d"), "_bad", F.lit(0).alias("_copy"))
-    each = lambda c: F.expr(f"sum({c}) div sum(_copy)")  # noqa: E731  rows that repeat id and text add up
-    out = near.unionByName(far).groupBy("doc_id", "_tie").agg(each("w").alias("n_words"), each("p").alias("n_pieces"), F.pmod(each("d"), F.lit(PRIME)).alias("ids_digest"), (~F.max("_bad")).alias("round_trip"))
-    return out.select("doc_id", "n_words", "n_pieces", "ids_digest", "round_trip")
+    rows = given.mapInArrow(_looked_up(lambda: shared.value, vocabulary, narrow), f"row long, doc_id {kind}, ids binary, holes binary, rare array<string>, seen binary")
+    dealt = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(dealt, "row")
+    far = rows.mapInArrow(_rare, "row long, at int, word string")  # takes all columns, so that both sides read one shuffle
+    far = far.join(known.select("word", F.col("ids").alias("own")), "word")
+    fills = far.repartition(dealt, "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("_f")).select("row", F.transform("_f", lambda f: f["own"]).alias("fills"))
+    out = rows.join(fills, "row", "left").select("doc_id", "ids", "holes", "rare", "seen", "fills")
+    return out.mapInArrow(lambda parts: _joined(parts, pieces, narrow), f"doc_id {kind}, ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")

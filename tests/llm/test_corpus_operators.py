@@ -291,35 +291,62 @@ def test_pieces_by_force(spark):
     v = tiny_vocabulary()
     rng = random.Random(1)
     texts = ["".join(rng.choice("aab bé\nz") for _ in range(rng.randint(1, 25))) for _ in range(60)] + ["", "   ", "ab" * 200]
-    docs = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string").withColumn("word", F.lit("x"))
-    got = {r.doc_id: list(r.ids) for r in sp.encode(docs, v).collect()}
-    for i, t in enumerate(texts):
-        marked = "▁" + t.replace(" ", "▁") if t else ""
-        parts = sp.Parts(v)
-        words = parts.words(t)
-        assert "".join(words) == marked and all("".join(parts.of(w)) == w for w in words)
-        assert got[i] == best_by_force(marked, v)
-    assert got[900] == []
+    docs = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("ids", F.lit(1))
+    for frequent in (0, 5, 1000):
+        got = {r.doc_id: r for r in sp.encode(docs, v, frequent=frequent).collect()}
+        for i, t in enumerate(texts):
+            marked = "▁" + t.replace(" ", "▁") if t else ""
+            parts = sp.Parts(v)
+            words = parts.words(t)
+            assert "".join(words) == marked and all("".join(parts.of(w)) == w for w in words)
+            assert list(got[i].ids) == best_by_force(marked, v) and got[i].round_trip and got[i].n_pieces == len(got[i].ids)
+            assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert list(got[900].ids) == []
     back = {r.doc_id: r.text for r in sp.decode(sp.encode(docs, v), v, "doc_id").collect()}
     assert all(back[i] == " " + t for i, t in enumerate(texts) if t)
     assert sp.encode(docs.limit(0), v).count() == 0
+    no_bytes = sp.Pieces(v.pieces, (), 0)
+    assert list(sp.encode(docs.limit(0).union(spark.createDataFrame([(1, "zz", "x", 1)])), no_bytes).first().ids) == [300, 0, 0]
+
+
+def merges_by_force(word, v):
+    """Joins the neighbours whose join has the best score, the leftmost of equal ones, until none has one."""
+    score = {p: (s, i) for i, p, s in v.pieces}
+    left = list(word)
+    while True:
+        best = max(((score[a + b][0], -k) for k, (a, b) in enumerate(zip(left, left[1:])) if a + b in score), default=None)
+        if best is None:
+            return [i for x in left for i in ([score[x][1]] if x in score else [v.bytes[b] for b in x.encode()])]
+        k = -best[1]
+        left[k : k + 2] = [left[k] + left[k + 1]]
+
+
+def test_merges_by_force(spark):
+    rng = random.Random(7)
+    for late in (False, True):
+        pieces = {"▁": -30.0, "a": -31.0, "b": -32.0, "c": -33.0, "ab": -1.0, "bc": -2.0, "▁a": -3.0, "abab": -4.0, "▁ab": -5.0, "ca": -6.0, "cab": -7.0, "aa": -8.0}
+        if late:  # "bcab" is spelled by "bca", of a worse score, and "b"
+            pieces |= {"bca": -40.0, "bcab": -0.5, "aaa": -0.2}
+        v = sp.Pieces(tuple((300 + i, p, s) for i, (p, s) in enumerate(pieces.items())), tuple(range(3, 259)), 0, merges=True)
+        assert bool(v.late()) == late
+        texts = ["".join(rng.choice("abcabcabc é,") for _ in range(rng.randint(1, 40))) for _ in range(80)] + ["abc" * 300]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r for r in sp.encode(docs, v, frequent=20).collect()}
+        for i, t in enumerate(texts):
+            assert list(got[i].ids) == merges_by_force("▁" + t.replace(" ", "▁"), v), t
+            assert got[i].round_trip
 
 
 def test_pieces_of_the_model_round_trip(spark):
     v = sp.Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = sp.summary(docs.union(docs.limit(20)), v, frequent=500).collect()
-    assert len(rows) == docs.count() and all(r.round_trip for r in rows)
-    assert {tuple(r) for r in rows} == {tuple(r) for r in sp.summary(docs, v, frequent=0).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    odd = spark.createDataFrame([(-1, "a  b   c "), (-2, " x\n\ny\t1234 ▁z"), (-3, "日本語 🙂 naïve"), (-4, "e" * 60 + " = == === ----"), (-5, "")], "doc_id long, text string")
-    some = docs.select("doc_id", "text").orderBy("doc_id").limit(25).union(odd)
-    texts = {r.doc_id: r.text for r in some.collect()}
-    got = {r.doc_id: list(r.ids) for r in sp.encode(some, v).collect()}
-    for i, t in texts.items():
-        assert got[i] == library.encode(t), t[:50]
-    assert all(r.n_pieces == len(got[r.doc_id]) for r in rows if r.doc_id in got)
-    assert v.merges
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, "a  b   c "), (-2, " x\n\ny\t1234 z"), (-3, "日本語 🙂 naïve"), (-4, "e" * 60 + " = == === ----"), (-5, ""), (-5, ""), (None, None), (-6, "x" * 100_000), (-7, "ab-" * 30_000)]
+    every = docs.union(docs.limit(20)).union(spark.createDataFrame(odd, "doc_id long, text string"))
+    given = sorted(((r.doc_id, r.text or "") for r in every.collect()), key=str)
+    rows = sorted(((r.doc_id, list(r.ids), r.round_trip) for r in sp.encode(every, v, frequent=500).collect()), key=str)
+    assert rows == sorted(((i, library.encode(t), True) for i, t in given), key=str)
+    assert v.merges and not sp.encode(spark.createDataFrame([(1, "a ▁b")], "doc_id long, text string"), v).first().round_trip
 
 
 def test_reply_trees(spark):
