@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,16 +52,34 @@ def durable(df: DataFrame) -> DataFrame:
         atexit.register(_forget)
     _written.append((spark, path))
     del df
-    spark.sparkContext._jvm.System.gc()  # what nothing holds any more gives up its shuffle files
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files that no DataFrame refers to any more (those of the query before may stay)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a durable DataFrame that nothing will read again."""
+    for path in df.inputFiles()[:1]:
+        folder = path.rsplit("/", 1)[0]
+        for spark, known in [x for x in _written if x[1].rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
+            _delete(spark, known)
+            _written.remove((spark, known))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended
             return
 

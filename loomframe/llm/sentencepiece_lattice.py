@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import batches, durable, setting, text_of
+from loomframe.llm.common import batches, discard, durable, release, setting, text_of
 
 #: The mark that stands for a space, parts in the broadcast table at most, and words that a task remembers.
-SPACE, FREQUENT, REMEMBERED = "▁", 200_000, 300_000
+SPACE, FREQUENT, REMEMBERED = "▁", 400_000, 300_000
 #: Parts that a task folds, and places of a part that are exploded as one row: a longer part is cut into overlapping rows.
 FOLDED, PLACES = 50_000, 64
 #: Stands in a document's ids for a part that is to be looked up.
@@ -214,8 +215,8 @@ def parts_of(words: DataFrame, vocabulary: Pieces, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     found = words.mapInArrow(split, "word string, n long")
-    keyed = found.select(F.xxhash64("word").alias("k"), F.xxhash64("word", F.lit(1)).alias("k2"), "word", "n")
-    return keyed.repartition(tasks, "k").groupBy("k", "k2", "word").agg(F.sum("n").alias("n"))
+    keyed = found.select(F.xxhash64("word").alias("k"), "word", "n")
+    return keyed.repartition(tasks, "k").groupBy("k", "word").agg(F.sum("n").alias("n")).withColumn("k2", F.xxhash64("word", F.lit(1)))
 
 
 def _substrings(distinct: DataFrame, vocabulary: Pieces, least: int) -> DataFrame:
@@ -402,12 +403,24 @@ class _Words(dict):
         return found
 
 
-ROW = ["row", "doc_id", "ids", "holes", "rare", "seen"]
+ROW = ["row", "doc_id", "codes", "holes", "rare", "seen"]
 
 
-def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces, narrow: str):
-    """Rows (row, doc_id, text) as ROW: the ids with holes, for each hole the place of its part among the row's rare
-    parts, those parts, and a hash of the text. A task remembers words up to a bound."""
+class Codes:
+    """Ids as code points, frequent ones first, so that UTF-8 holds most in a byte; 0 stands for a hole."""
+
+    def __init__(self, ids: list[int]):
+        places = np.arange(1, len(ids) + 1)
+        self.points = np.where(places < 0xD800, places, places + 0x800).astype(np.uint32)  # no surrogates
+        self.ids = np.zeros(int(self.points.max(initial=0)) + 1, dtype=np.int32)
+        self.ids[self.points] = ids
+        self.of = np.zeros(max(ids, default=0) + 1, dtype=np.uint32)
+        self.of[ids] = self.points
+
+
+def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces):
+    """Rows (row, doc_id, text) as ROW: the codes of the ids with holes, for each hole the place of its part among the row's
+    rare parts, those parts, and a hash of the text. A task remembers words up to a bound."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -422,14 +435,15 @@ def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces, narrow
                     rare = _Rare()
                     plain, other = _Words(SPACE, frequent, parts, rare), _Words("", frequent, parts, rare)
                 each = map(plain.__getitem__, text.split(" ")) if parts.plain(text) else map(other.__getitem__, parts.words(text))
-                ids = np.frombuffer(b"".join(each), dtype="<u4")
-                at = np.flatnonzero(ids == HOLE)
-                numbers, own = np.unique(ids[at + 1], return_inverse=True)
+                codes = np.frombuffer(b"".join(each), dtype="<u4")
+                at = np.flatnonzero(codes == HOLE)
+                numbers, own = np.unique(codes[at + 1], return_inverse=True)
                 names = [rare.names[i] for i in numbers.tolist()]
-                left = np.delete(ids, at + 1).astype(narrow).tobytes()
-                for c, v in zip(cols, (left, own.astype("<u4").tobytes(), names, xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                left = np.delete(codes, at + 1)
+                left[left == HOLE] = 0
+                for c, v in zip(cols, (left.tobytes().decode("utf-32-le"), own.astype("<u4").tobytes(), names, xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
                     c.append(v)
-            kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary())
+            kinds = (pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols, kinds)], ROW)
 
     return run
@@ -445,31 +459,40 @@ def _rare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at), lists.flatten()], ["row", "at", "word"])
 
 
-def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], narrow: str) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, ids, holes, rare, seen, fills) as doc_id, ids, n_pieces, decoded_sha256, round_trip."""
+def _as_codes(parts: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[pa.RecordBatch]:
+    """Rows (word, ids) as word and codes."""
+    for b in parts:
+        points = codes.of[b.column(1).flatten().to_numpy()].astype("<u4").tobytes().decode("utf-32-le")
+        ends = np.cumsum(b.column(1).value_lengths().to_numpy()).tolist()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([points[a:z] for a, z in zip([0, *ends], ends, strict=False)], pa.string())], ["word", "own"])
+
+
+def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], codes: Codes) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, codes, holes, rare, seen, fills) as doc_id, ids, n_pieces, decoded_sha256, round_trip."""
     from xxhash import xxh3_128_digest
 
-    mark, hole = SPACE.encode(), np.iinfo(narrow).max
+    mark = SPACE.encode()
     offsets = lambda n: np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n, dtype=np.int64)])
     lengths = lambda lists: lists.value_lengths().fill_null(0).to_numpy()
     within = lambda n: np.arange(int(n.sum())) - np.repeat(offsets(n)[:-1], n)
     for b in parts:
         raw, held = b.column(1).to_pylist(), b.column(2).to_pylist()
-        flat = np.frombuffer(b"".join(raw), dtype=narrow)
-        sizes = np.array([len(x) for x in raw], dtype=np.int64) // flat.itemsize
+        flat = np.frombuffer("".join(raw).encode("utf-32-le"), dtype="<u4")
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
         fills = b.column(5).flatten()
-        start, n = offsets(lengths(fills)), lengths(fills)
-        at = np.flatnonzero(flat == hole)
+        n = pc.utf8_length(fills).to_numpy().astype(np.int64)
+        start, own = offsets(n), np.frombuffer("".join(fills.to_pylist()).encode("utf-32-le"), dtype="<u4")
+        at = np.flatnonzero(flat == 0)
         n_holes = np.array([len(x) for x in held], dtype=np.int64) // 4
         which = np.frombuffer(b"".join(held), dtype="<u4") + np.repeat(offsets(lengths(b.column(5)))[:-1], n_holes)
         count = np.ones(len(flat), dtype=np.int64)
         count[at] = n[which]
         to = offsets(count)
         ids = np.empty(int(to[-1]), dtype=np.int32)
-        plain = flat != hole
-        ids[to[:-1][plain]] = flat[plain]
+        plain = flat != 0
+        ids[to[:-1][plain]] = codes.ids[flat[plain]]
         inner = within(n[which])
-        ids[np.repeat(to[:-1][at], n[which]) + inner] = fills.flatten().to_numpy()[np.repeat(start[which], n[which]) + inner]
+        ids[np.repeat(to[:-1][at], n[which]) + inner] = codes.ids[own[np.repeat(start[which], n[which]) + inner]]
         ends = to[offsets(sizes)]
         cols: list[list] = [[] for _ in range(2)]
         for i, seen in enumerate(b.column(4).to_pylist()):
@@ -493,18 +516,26 @@ def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col
     words = durable(distinct_words(docs, vocabulary, text_col))
     tasks = max(1, -(-words.count() // FOLDED))
     known = encode_words(parts_of(words, vocabulary, tasks), vocabulary)
-    head = known.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast({w: np.array(x, dtype="<u4").tobytes() for w, x in zip(head.column(0).to_pylist(), head.column(1).to_pylist(), strict=True)})
+    discard(words)
+    head = known.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids", "n").toArrow()
+    head = list(zip(*(c.to_pylist() for c in head.columns), strict=True))
     pieces = {i: p.encode() for i, p, _ in vocabulary.pieces} | {i: bytes([n]) for n, i in enumerate(vocabulary.bytes)}
     pieces.setdefault(vocabulary.unknown, " ⁇ ".encode())
-    narrow = "<u2" if max(pieces) < 0xFFFF else "<u4"
+    often: Counter[int] = Counter()
+    for _, own, n in head:
+        for i in own:
+            often[i] += n
+    codes = Codes(sorted(pieces, key=lambda i: (-often[i], i)))
+    shared = spark.sparkContext.broadcast({w: codes.of[own].astype("<u4").tobytes() for w, own, _ in head})
+    release(spark)
     given = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "_text")
     kind = given.schema["doc_id"].dataType.simpleString()
-    rows = given.mapInArrow(_looked_up(lambda: shared.value, vocabulary, narrow), f"row long, doc_id {kind}, ids binary, holes binary, rare array<string>, seen binary")
+    rows = given.mapInArrow(_looked_up(lambda: shared.value, vocabulary), f"row long, doc_id {kind}, codes string, holes binary, rare array<string>, seen binary")
     dealt = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(dealt, "row")
     far = rows.mapInArrow(_rare, "row long, at int, word string")  # takes all columns, so that both sides read one shuffle
-    far = far.join(known.select("word", F.col("ids").alias("own")), "word")
+    own = known.select("word", "ids").mapInArrow(lambda parts: _as_codes(parts, codes), "word string, own string")
+    far = far.join(own, "word")
     fills = far.repartition(dealt, "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("_f")).select("row", F.transform("_f", lambda f: f["own"]).alias("fills"))
-    out = rows.join(fills, "row", "left").select("doc_id", "ids", "holes", "rare", "seen", "fills")
-    return out.mapInArrow(lambda parts: _joined(parts, pieces, narrow), f"doc_id {kind}, ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")
+    out = rows.join(fills, "row", "left").select("doc_id", "codes", "holes", "rare", "seen", "fills")
+    return out.mapInArrow(lambda parts: _joined(parts, pieces, codes), f"doc_id {kind}, ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")
