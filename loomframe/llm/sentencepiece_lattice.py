@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import batches, discard, durable, release, setting, text_of
 
 #: The mark that stands for a space, parts in the broadcast table at most, and words that a task remembers.
-SPACE, FREQUENT, REMEMBERED = "▁", 400_000, 300_000
+SPACE, FREQUENT, REMEMBERED = "▁", 600_000, 300_000
 #: Parts that a task folds, and places of a part that are exploded as one row: a longer part is cut into overlapping rows.
 FOLDED, PLACES = 50_000, 64
 #: Stands in a document's ids for a part that is to be looked up.
@@ -420,11 +420,13 @@ class Codes:
 
 def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces):
     """Rows (row, doc_id, text) as ROW: the codes of the ids with holes, for each hole the place of its part among the row's
-    rare parts, those parts, and a hash of the text. A task remembers words up to a bound."""
+    rare parts, those parts, all compressed, and a hash of the text. A task remembers words up to a bound."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
+        from zstandard import ZstdCompressor
 
+        packed = ZstdCompressor(level=3, write_checksum=False).compress
         parts, frequent = Parts(vocabulary), table()
         rare = _Rare()
         plain, other = _Words(SPACE, frequent, parts, rare), _Words("", frequent, parts, rare)
@@ -441,22 +443,33 @@ def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces):
                 names = [rare.names[i] for i in numbers.tolist()]
                 left = np.delete(codes, at + 1)
                 left[left == HOLE] = 0
-                for c, v in zip(cols, (left.tobytes().decode("utf-32-le"), own.astype("<u4").tobytes(), names, xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                for c, v in zip(cols, (packed(left.tobytes().decode("utf-32-le").encode()), packed(own.astype("<u4").tobytes()) if len(at) else b"", packed(_listed(names)) if names else b"", xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
                     c.append(v)
-            kinds = (pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols, kinds)], ROW)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.binary()) for c in cols]], ROW)
 
     return run
 
 
+def _listed(names: list[str]) -> bytes:
+    return np.array([len(names), *map(len, names)], dtype="<u4").tobytes() + "".join(names).encode()
+
+
+def _names(raw: bytes) -> list[str]:
+    n = int.from_bytes(raw[:4], "little")
+    ends, text = np.cumsum(np.frombuffer(raw, dtype="<u4", offset=4, count=n)).tolist(), raw[4 + 4 * n :].decode()
+    return [text[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
 def _rare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (ROW) as row, at, word: one for each rare part."""
+    from zstandard import ZstdDecompressor
+
+    opened = ZstdDecompressor().decompress
     for b in parts:
-        lists = b.column(4)
-        n = lists.value_lengths().to_numpy()
-        first = np.repeat(np.cumsum(n) - n, n)
-        at = (np.arange(len(first)) - first).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at), lists.flatten()], ["row", "at", "word"])
+        lists = [_names(opened(x)) if x else [] for x in b.column(4).to_pylist()]
+        n = np.array([len(x) for x in lists], dtype=np.int64)
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at.astype(np.int32)), pa.array([w for x in lists for w in x], pa.string())], ["row", "at", "word"])
 
 
 def _as_codes(parts: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[pa.RecordBatch]:
@@ -470,13 +483,15 @@ def _as_codes(parts: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[pa.Reco
 def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], codes: Codes) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, codes, holes, rare, seen, fills) as doc_id, ids, n_pieces, decoded_sha256, round_trip."""
     from xxhash import xxh3_128_digest
+    from zstandard import ZstdDecompressor
 
-    mark = SPACE.encode()
+    opened, mark = ZstdDecompressor().decompress, SPACE.encode()
     offsets = lambda n: np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n, dtype=np.int64)])
     lengths = lambda lists: lists.value_lengths().fill_null(0).to_numpy()
     within = lambda n: np.arange(int(n.sum())) - np.repeat(offsets(n)[:-1], n)
     for b in parts:
-        raw, held = b.column(1).to_pylist(), b.column(2).to_pylist()
+        raw = [opened(x).decode() for x in b.column(1).to_pylist()]
+        held = [opened(x) if x else b"" for x in b.column(2).to_pylist()]
         flat = np.frombuffer("".join(raw).encode("utf-32-le"), dtype="<u4")
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
         fills = b.column(5).flatten()
@@ -530,7 +545,7 @@ def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col
     release(spark)
     given = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "_text")
     kind = given.schema["doc_id"].dataType.simpleString()
-    rows = given.mapInArrow(_looked_up(lambda: shared.value, vocabulary), f"row long, doc_id {kind}, codes string, holes binary, rare array<string>, seen binary")
+    rows = given.mapInArrow(_looked_up(lambda: shared.value, vocabulary), f"row long, doc_id {kind}, codes binary, holes binary, rare binary, seen binary")
     dealt = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(dealt, "row")
     far = rows.mapInArrow(_rare, "row long, at int, word string")  # takes all columns, so that both sides read one shuffle
