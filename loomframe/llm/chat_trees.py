@@ -26,7 +26,7 @@ def unescape(text: Column) -> Column:
 
 
 def _join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A shuffled join. Tables of ids and counters are tiny as files, from which the planner would take them for small
+    """A shuffled join, in which a null tree is a tree of its own. Tables of ids and counters are tiny as files, from which the planner would take them for small
     and broadcast them, although their rows are as many as the input's."""
     return a.join(b.hint("merge"), on, how)
 

@@ -130,6 +130,21 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_
     return docs.join(small(gone), docs[id_col].eqNullSafe(gone["_id"]) & (key == gone["_hash"]), "left_anti")
 
 
+def once(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row, any of them, for each id and hash of a text in repeated(_id, _hash); all other rows stay.
+
+    One row in each task that has some is told by its number, and the smallest number stays, so no group of rows moves.
+    """
+    hash_, number, kind = "_hash_", "_number_", {f.name for f in docs.schema}
+    while {hash_, number} & kind:
+        hash_, number = hash_ + "_", number + "_"
+    rows = durable(docs.withColumns({hash_: F.xxhash64(text_of(docs, text_col)), number: F.monotonically_increasing_id()}))
+    first = rows.groupBy(F.col(id_col).alias("_id"), F.col(hash_).alias("_hash")).agg(F.min(number).alias("_first"))
+    first = first.join(repeated.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "_first")
+    out = rows.join(small(durable(first)), rows[id_col].eqNullSafe(F.col("_id")) & (rows[hash_] == F.col("_hash")), "left")
+    return out.filter(F.col("_first").isNull() | (F.col("_first") == F.col(number))).select(*[rows[f"`{c}`"] for c in docs.columns])
+
+
 ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 

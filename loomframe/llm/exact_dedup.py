@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import durable, small, text_of, without_rows
+from loomframe.llm.common import durable, once, small, text_of, without_rows
 
 #: Code points of a text that the second step hashes.
 PREFIX = 256
@@ -53,11 +53,13 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with every column as it was; of rows that repeat id and text, one stays."""
+    """The rows of docs that stay, with every column as it was; of rows that repeat id and text
+    (null counts as empty), one stays."""
     groups = small(durable(copy_groups(docs, id_col, text_col).select("_sha", "_keep", "_n")))
     rows = docs.select(docs[id_col].alias("_id"), F.sha2(text_of(docs, text_col), 256).alias("_own"), F.xxhash64(text_of(docs, text_col)).alias("_hash"))
     marked = rows.join(groups, rows["_own"] == groups["_sha"], "inner")
     gone = durable(marked.filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "_hash").distinct())
     kept = without_rows(docs, gone, id_col, text_col)
-    again = marked.filter(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_sha").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    again = marked.filter(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    again = durable(again.select("_id", "_hash"))
+    return kept if again.isEmpty() else once(kept, again, id_col, text_col)

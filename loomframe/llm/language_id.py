@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from loomframe.llm.common import batches, per_text, text_of
 SAMPLE, LANGUAGES, WORDS, GRAMS, LONGEST = 3000, 256, 120_000, 120_000, 5
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def held_out(id_col: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import durable, per_text, small
+from loomframe.llm.common import durable, once, per_text, small, without_rows
 
 #: Words of a shingle where no contract says otherwise; percent of the union that the intersection must reach.
 WORDS, PERCENT = 5, 80
@@ -93,17 +93,23 @@ def digest(x: np.ndarray) -> tuple[int, int]:
         return _long(x.sum(dtype=np.uint64)), _long(mix(x ^ _K1).sum(dtype=np.uint64))
 
 
-def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """doc_id, n, two digests and a signature of each text's set; text_hash, if asked for, is the xxhash64 of the text."""
+
     def make():
+        from xxhash import xxh64_intdigest
+
         shingles = shingles_of(words)
 
         def one(text: str) -> tuple:
             x = shingles(text)
-            return (len(x), *digest(x), signature(x) if len(x) else b"")
+            own = (len(x), *digest(x), signature(x) if len(x) else b"")
+            return (*own, _long(xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42))) if with_hash else own
 
         return one
 
-    return per_text(docs, make, {"n": "long", "c": "long", "c2": "long", "sig": "binary"}, id_col, text_col)
+    names = {"n": "long", "c": "long", "c2": "long", "sig": "binary"} | ({"text_hash": "long"} if with_hash else {})
+    return per_text(docs, make, names, id_col, text_col)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -435,8 +441,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, class_id.
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, class_id (and, if asked
+    for, group_id, the component whether or not it has ids, and text_hash).
 
     Linked are documents whose sets of shingles have 100 * intersection >= percent * union; equal sets always are.
     A document without words (null and empty texts) is linked with nothing. Rows that repeat an id are documents of
@@ -444,21 +451,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     threshold meet with a probability over 0.99, closer ones more surely, and no link is reported that the full sets
     don't confirm. Other columns of docs are ignored.
     """
-    base = durable(signatures(docs, words, id_col, text_col))
+    base = durable(signatures(docs, words, id_col, text_col, with_hash))
     classes = durable(base.filter("n > 0").groupBy("c", "c2", "n", "sig").agg(F.min("doc_id").alias("rep")))
     named = classes.filter("rep is not null")
     roots = durable(components(links(docs, named, words, percent, id_col, text_col)))
     low = named.select("c", "rep").join(roots, "c").groupBy("root").agg(F.min("rep").alias("low"))
-    linked = durable(roots.join(low, "root").select("c", "low"))
+    linked = durable(roots.join(low, "root").select("c", "low", "root"))
     alone = base.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
-    ids = durable(classes.join(small(linked), "c", "left").select("c", F.coalesce("low", "rep").alias("component_id")))
-    rest = base.filter("n > 0").select("doc_id", "n", "c").join(small(ids), "c").select("doc_id", "n", "component_id", F.col("c").alias("class_id"))
-    out = rest.unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+    ids = durable(classes.join(small(linked), "c", "left").select("c", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "c").alias("group_id")))
+    hashes = ["text_hash"] if with_hash else []
+    rest = base.filter("n > 0").select("doc_id", "n", "c", *hashes).join(small(ids), "c").select("doc_id", "n", "component_id", F.col("c").alias("class_id"), "group_id", *hashes)
+    out = rest.unionByName(alone.withColumn("group_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    more = ["group_id", *hashes] if with_hash else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", *more)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; every column as it was."""
-    marked = near_duplicates(docs, words, percent, id_col, text_col)
-    gone = durable(marked.filter("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small(gone), docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    """docs with one document of each component, the one with the smallest id; every column as it was.
+
+    A row goes by its id and its text, so of rows that share an id only those go that are near another text. Rows of one
+    component whose ids are the smallest alike keep the one with the smallest hash of its text, and of rows that repeat
+    both id and text one stays. Of a component without ids one row stays. Texts without words all stay.
+    """
+    marked = durable(near_duplicates(docs, words, percent, id_col, text_col, with_hash=True))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stays = marked.filter("group_id is not null").groupBy("group_id").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = marked.filter("group_id is not null").join(durable(stays), "group_id")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    rows = durable(rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), same.alias("_stays")))
+    kept = without_rows(docs, rows.filter("not _stays").select("_id", "_hash").distinct(), id_col, text_col)
+    again = durable(rows.filter("_stays").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_id", "_hash"))
+    return kept if again.isEmpty() else once(kept, again, id_col, text_col)
