@@ -47,7 +47,7 @@ def durable(df: DataFrame) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: short lineage, safe from lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/loomframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_forget)
     _written.append((spark, path))

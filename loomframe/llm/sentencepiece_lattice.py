@@ -426,7 +426,7 @@ def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces):
         from xxhash import xxh3_128_digest
         from zstandard import ZstdCompressor
 
-        packed = ZstdCompressor(level=3, write_checksum=False).compress
+        packed = ZstdCompressor(level=6, write_checksum=False).compress
         parts, frequent = Parts(vocabulary), table()
         rare = _Rare()
         plain, other = _Words(SPACE, frequent, parts, rare), _Words("", frequent, parts, rare)
@@ -549,7 +549,8 @@ def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col
     dealt = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(dealt, "row")
     far = rows.mapInArrow(_rare, "row long, at int, word string")  # takes all columns, so that both sides read one shuffle
-    own = known.select("word", "ids").mapInArrow(lambda parts: _as_codes(parts, codes), "word string, own string")
+    least = head[-1][2] if len(head) == frequent and head else None  # what is not in the broadcast table is no more frequent
+    own = (known if least is None else known.filter(F.col("n") <= least)).select("word", "ids").mapInArrow(lambda parts: _as_codes(parts, codes), "word string, own string")
     far = far.join(own, "word")
     fills = far.repartition(dealt, "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("_f")).select("row", F.transform("_f", lambda f: f["own"]).alias("fills"))
     out = rows.join(fills, "row", "left").select("doc_id", "codes", "holes", "rare", "seen", "fills")
