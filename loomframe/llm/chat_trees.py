@@ -26,7 +26,7 @@ def unescape(text: Column) -> Column:
 
 
 def _join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A shuffled join, in which a null tree is a tree of its own. Tables of ids and counters are tiny as files, from which the planner would take them for small
+    """A shuffled join. Tables of ids and counters are tiny as files, from which the planner would take them for small
     and broadcast them, although their rows are as many as the input's."""
     return a.join(b.hint("merge"), on, how)
 
@@ -37,8 +37,17 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     Self-joins double the reach of every node's pointer to an ancestor, so a path of d nodes takes log2(d) rounds.
     A leaf's path is scored by the mean score of its nodes (null counts as 0); of equal scores the smallest leaf
     wins. A parent that is null or absent makes its node a root. Nodes are distinct in a tree; nodes on a cycle have
-    no root and are in no path. No rows: no paths.
+    no root and are in no path. Nodes whose tree is null make a tree of their own. No rows: no paths.
     """
+    return _best_paths(_wrapped(nodes), per_tree).withColumn("tree", F.col("tree.of"))
+
+
+def _wrapped(nodes: DataFrame) -> DataFrame:
+    """nodes with the tree in a struct, so that a null tree equals itself in joins."""
+    return nodes.withColumn("tree", F.struct(F.col("tree").alias("of")))
+
+
+def _best_paths(nodes: DataFrame, per_tree: int) -> DataFrame:
     own = nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("s"), "parent")
     there = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     up = _join(own, there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "s", F.lit(1).cast("long").alias("d"))
@@ -101,7 +110,7 @@ def conversations_as_trees(conversations: DataFrame) -> DataFrame:
 
 def format_trees(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """The best paths of nodes(tree, node, parent, score, role, text): conv (tree, path), formatted, mask."""
-    nodes = durable(nodes)
-    paths = best_paths(nodes, per_tree)
+    nodes = durable(_wrapped(nodes))
+    paths = _best_paths(nodes, per_tree)
     turns = _join(paths, nodes.select("tree", "node", "role", "text"), ["tree", "node"])
-    return format_paths(turns.select(F.struct("tree", "path").alias("conv"), "pos", "role", "text"))
+    return format_paths(turns.select(F.struct(F.col("tree.of").alias("tree"), "path").alias("conv"), "pos", "role", "text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -188,10 +189,12 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if tape.text == text:
         return base, base
     spans = list(base)
-    taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
+    starts = {k: [a for kind, a, _ in base if kind == k] for k in KINDS}  # spans of a kind don't overlap
+    ends = {k: [b for kind, _, b in base if kind == k] for k in KINDS}
     for kind, a, b in base_spans(tape.text):
         lo, hi = tape.start[a], tape.end[b - 1]
-        if not any(x < hi and lo < y for x, y in taken[kind]):
+        after = bisect_right(ends[kind], lo)
+        if after == len(starts[kind]) or starts[kind][after] >= hi:
             spans.append((kind, lo, hi))
     return base, ordered(spans)
 

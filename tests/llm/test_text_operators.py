@@ -69,6 +69,14 @@ def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
 
 
+def test_many_base_spans_beside_a_disguise_stay_linear():
+    import time
+
+    began = time.perf_counter()
+    base, spans = pii.find("ab@cd.ef " * 60_000 + "jаne＠mail.example.com")
+    assert len(base) == 60_000 and len(spans) == 60_001 and time.perf_counter() - began < 20
+
+
 def test_masking():
     assert pii.masked("to a.b@c.de, 10.0.0.1.") == "to <email>, <ip>."
 
@@ -149,9 +157,9 @@ def test_language_on_held_out_rows(spark):
 def test_language_edges(spark):
     docs = spark.createDataFrame([(i, "the cat and the dog", "en", 1) for i in range(20)] + [(i, "le chat et le chien", "fr", 1) for i in range(20, 30)], "doc_id long, text string, lang string, score int")
     model = language_id.fit(docs)
-    asked = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "le chien " * 20_000), (5, "日本"), (5, "日本"), (None, "the cats")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "le chien " * 20_000), (5, "日本"), (5, "日本"), (None, "the cats"), (6, "²"), (7, "½ 12 ①")], "doc_id long, text string")
     got = {(r.doc_id, r.lang_pred) for r in language_id.predict(asked, model).collect()}
-    assert got == {(1, "und"), (2, "und"), (3, "und"), (4, "fr"), (5, "en"), (None, "en")}
+    assert got == {(1, "und"), (2, "und"), (3, "und"), (4, "fr"), (5, "en"), (None, "en"), (6, "und"), (7, "und")}
     empty = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.predict(asked, empty).collect()} == {"und"}
 
