@@ -490,13 +490,14 @@ def gb_apply(t):
 
 
 def _sides(t) -> tuple[Frame, Frame]:
-    a = t.customer.query("c_custkey % 3 > 0").select("c_custkey", "c_name").rename({"c_custkey": "k"})
-    b = t.orders.query("o_orderkey % 2 == 0").select("o_custkey", "o_totalprice").rename({"o_custkey": "k"})
+    """Customers and orders; the customers' keys are moved on by ten, so that some keys of each side have no partner."""
+    a = t.customer.assign_expr("k", col("c_custkey") + 10).select("k", "c_name")
+    b = t.orders.select("o_custkey", "o_totalprice").rename({"o_custkey": "k"})
     return a, b
 
 
-_A = "(select c_custkey as k, c_name from customer where c_custkey % 3 > 0)"
-_B = "(select o_custkey as k, o_totalprice from orders where o_orderkey % 2 = 0)"
+_A = "(select c_custkey + 10 as k, c_name from customer)"
+_B = "(select o_custkey as k, o_totalprice from orders)"
 
 
 @query(f"select k, c_name, o_totalprice from {_A} a join {_B} b using (k)")
@@ -645,10 +646,10 @@ for _how in _EXPANDING:
     _expanding(_how)
 
 
-@query("select event_id, round(median(value) over (order by event_id rows between unbounded preceding and current row), 6) as value from (select * from events order by event_id limit 500)")
+@query("select s_suppkey, round(median(s_acctbal) over (order by s_suppkey rows between unbounded preceding and current row), 6) as value from supplier")
 def expanding_median(t):
-    f = _values(t).head(500)
-    return _with_id(f, f.col("value").expanding().median())
+    f = t.supplier.select("s_suppkey", "s_acctbal")
+    return rounded(f.select("s_suppkey").assign("value", f.col("s_acctbal").expanding().median().col("s_acctbal")), 6, "value")
 
 
 def _row_query(name: str, expression: str, make: Callable[[Series], Series], digits: int = 6):
@@ -759,6 +760,21 @@ def to_datetime_coerce(t):
     return f._put({"d": datetimes.to_datetime(F.col("s"), f.schema["s"].dataType, errors="coerce")}).select("o_orderkey", "d")
 
 
+#: A date in turn day first, month first, with slashes, with a clock, with a zone, and in forms that aren't read.
+_MIXED = ("dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "dd-MM-yyyy", "yyyy-MM-dd HH:mm")
+
+
+@query(
+    "select o_orderkey, case o_orderkey % 7 when 1 then case when day(o_orderdate) > 12 then d else make_date(year(d), day(d), month(d)) end "
+    "when 3 then o_orderdate when 4 then o_orderdate - interval 2 hour when 5 then null when 6 then null else d end::timestamp as d "
+    "from (select *, date_trunc('day', o_orderdate)::date as d from orders)"
+)
+def to_datetime_mixed(t):
+    turn = F.col("o_orderkey") % len(_MIXED)
+    f = t.orders._put({"s": F.coalesce(*[F.when(turn == i, F.date_format("o_orderdate", x)) for i, x in enumerate(_MIXED)])})
+    return f._put({"d": datetimes.to_datetime(F.col("s"), f.schema["s"].dataType, errors="coerce")}).select("o_orderkey", "d")
+
+
 @query("select event_id, make_timestamp(event_id * 1000000) as d from events")
 def to_datetime_unit(t):
     f = t.events
@@ -941,24 +957,24 @@ def mi_codes(t):
     return labels.codes(_places(t))
 
 
-@query("select c_nationkey as k from customer where c_nationkey < 15 group by 1 union select s_nationkey from supplier where s_nationkey > 5 group by 1")
+@query("select c_nationkey as k from customer union select s_nationkey + 6 from supplier")
 def index_union(t):
     return labels.union(*_keys(t))
 
 
-@query("select c_nationkey as k from customer where c_nationkey < 15 intersect select s_nationkey from supplier where s_nationkey > 5")
+@query("select c_nationkey as k from customer intersect select s_nationkey + 6 from supplier")
 def index_intersection(t):
     return labels.intersection(*_keys(t))
 
 
-@query("select c_nationkey as k from customer where c_nationkey < 15 except select s_nationkey from supplier where s_nationkey > 5")
+@query("select c_nationkey as k from customer except select s_nationkey + 6 from supplier")
 def index_difference(t):
     return labels.difference(*_keys(t))
 
 
 def _keys(t) -> tuple[Frame, Frame]:
-    a = t.customer.query("c_nationkey < 15")._put({"k": F.col("c_nationkey")}).select("k")
-    b = t.supplier.query("s_nationkey > 5")._put({"k": F.col("s_nationkey")}).select("k")
+    a = t.customer._put({"k": F.col("c_nationkey")}).select("k")
+    b = t.supplier._put({"k": (F.col("s_nationkey") + 6).cast("long")}).select("k")
     return Frame(a.df, a.order, ["k"]), Frame(b.df, b.order, ["k"])
 
 
@@ -994,16 +1010,6 @@ def nd_argmax(t):
     return t.raw("embeddings").select("vec_id", V.argmax(F.col("embedding")).alias("hi"), V.argmin(F.col("embedding")).alias("lo"))
 
 
-@query(f"select vec_id, list_sort({_E}) as e from embeddings")
-def nd_sort(t):
-    return t.raw("embeddings").select("vec_id", F.array_sort(V.doubles(F.col("embedding"))).alias("e"))
-
-
-@query("select vec_id, label in (1, 3) as v from embeddings")
-def nd_isin(t):
-    return t.raw("embeddings").select("vec_id", F.col("label").isin(1, 3).alias("v"))
-
-
 @query("select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as v from embeddings a, (select embedding from embeddings order by vec_id limit 1) b")
 def nd_dot(t):
     first = t.raw("embeddings").orderBy("vec_id").first()["embedding"]
@@ -1015,17 +1021,18 @@ def nd_gram(t):
     return V.gram(t.raw("embeddings"), "embedding", 64).withColumn("v", F.round("v", 5))
 
 
-def _matrix(t, rows: int = 40) -> NDArray:
-    return NDArray.from_vectors(t.raw("embeddings").orderBy("vec_id").limit(rows), "vec_id", "embedding", 64)
+def _matrix(t) -> NDArray:
+    return NDArray.from_vectors(t.raw("embeddings"), "vec_id", "embedding", 64)
 
 
-_M = f"(select (row_number() over (order by vec_id) - 1) as r, {_E} as e from embeddings order by vec_id limit 40)"
+_M = f"(select (row_number() over (order by vec_id) - 1) as r, {_E} as e from embeddings)"
+_ROWS = "(select count(*) from embeddings)"
 
 
-@query(f"with m as (select r, unnest(e) as x, generate_subscripts(e, 1) - 1 as j from {_M}) select (a.r * 40 + b.r)::bigint as i, round(sum(a.x * b.x), 6) as v from m a join m b using (j) group by a.r, b.r")
+@query(f"with m as (select r, unnest(e) as x, generate_subscripts(e, 1) - 1 as j from {_M}) select (a.j * 64 + b.j)::bigint as i, round(sum(a.x * b.x), 6) as v from m a join m b using (r) group by a.j, b.j")
 def nd_matmul(t):
     m = _matrix(t)
-    return m.matmul(m.T).df.withColumn("v", F.round("v", 6))
+    return m.T.matmul(m).df.withColumn("v", F.round("v", 6))
 
 
 @query(f"with m as (select r, unnest(e) as x, generate_subscripts(e, 1) - 1 as j from {_M}), a as (select j, avg(x) as mean from m group by 1) select (r * 64 + j)::bigint as i, round(x - mean, 8) as v from m join a using (j)")
@@ -1034,7 +1041,7 @@ def nd_broadcast(t):
     return m.sub(m.reduce("mean", axis=0)).df.withColumn("v", F.round("v", 8))
 
 
-@query(f"with m as (select r, unnest(e) as x, generate_subscripts(e, 1) - 1 as j from {_M}) select (j * 40 + r)::bigint as i, x as v from m")
+@query(f"with m as (select r, unnest(e) as x, generate_subscripts(e, 1) - 1 as j from {_M}) select (j * {_ROWS} + r)::bigint as i, x as v from m")
 def nd_transpose(t):
     return _matrix(t).T.df
 
@@ -1062,7 +1069,7 @@ def nd_take(t):
     return _matrix(t).take([3, -1, 3], axis=1).df
 
 
-@query(f"select (r * 64 + j)::bigint as i, x as v from {_CELLS} union all select ((r + 40) * 64 + j)::bigint, x * 2 from {_CELLS}")
+@query(f"select (r * 64 + j)::bigint as i, x as v from {_CELLS} union all select ((r + {_ROWS}) * 64 + j)::bigint, x * 2 from {_CELLS}")
 def nd_concat(t):
     m = _matrix(t)
     return concatenate([m, m * 2.0], 0).df
@@ -1079,6 +1086,21 @@ def nd_compare(t):
     return _matrix(t).le(0.05).df
 
 
+@query(f"select (r * 64 + row_number() over (partition by r order by x) - 1)::bigint as i, x as v from {_CELLS}")
+def nd_sort(t):
+    return _matrix(t).sort().df
+
+
+@query(f"select (r * 64 + j)::bigint as i, floor(x * 10)::bigint in (0, 2) as v from {_CELLS}")
+def nd_isin(t):
+    return _matrix(t).mul(10.0).ufunc("floor").isin([0, 2]).df
+
+
+@query(f"select r::bigint as i, arg_max(j, (x, -j))::bigint as v from {_CELLS} group by r")
+def nd_arg_axis(t):
+    return _matrix(t).arg("max", 1).df
+
+
 @query(f"select (r * 64 + row_number() over (partition by r order by x, j) - 1)::bigint as i, j::bigint as v from {_CELLS}")
 def nd_argsort(t):
     return _matrix(t).argsort().df

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from loomframe.errors import ColumnNotFound, InvalidOperation, ParseError, TypeMismatch
 from loomframe.functions import na
-from loomframe.functions.dtypes import PARSE_LAYOUTS
+from loomframe.functions.dtypes import PARSE_LAYOUTS, time_of
 
 Schema = dict[str, T.StructField]
 
@@ -190,13 +190,10 @@ class Lit(Expr):
 
 def _time_literal(text: str) -> Column:
     """A time for literal text, by the day-first layouts."""
-    import re
-
-    for pattern, layout in ((r"\d{4}-\d\d-\d\dT[\d:.]+(Z|[+-]\d\d:\d\d)?", None), (r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d+)?", None), (r"\d{4}-\d\d-\d\d( \d\d:\d\d)?", None), (r"\d{4}/\d\d/\d\d", "%Y/%m/%d"), (r"\d\d/\d\d/\d{4} \d\d:\d\d:\d\d", "%d/%m/%Y %H:%M:%S"), (r"\d\d/\d\d/\d{4}", "%d/%m/%Y"), (r"\d\d-\d\d-\d{4}", "%d-%m-%Y")):
-        if re.fullmatch(pattern, text):
-            when = dt.datetime.strptime(text, layout) if layout else dt.datetime.fromisoformat(text)
-            return F.lit(when.replace(tzinfo=None)).cast("timestamp_ntz")
-    raise TypeMismatch(f"{text!r} is not a time in any of {len(PARSE_LAYOUTS)} layouts")
+    try:
+        return F.lit(time_of(text, PARSE_LAYOUTS)).cast("timestamp_ntz")
+    except ParseError as e:
+        raise TypeMismatch(str(e)) from None
 
 
 _TESTS: dict[str, Callable[[Column, Column], Column]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import datetime as dt
+import re
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +20,10 @@ NAMES: dict[str, T.DataType] = {
     "bytes": T.BinaryType(), "datetime64": T.TimestampNTZType(), "datetime64[ns]": T.TimestampNTZType(), "datetime64[us]": T.TimestampNTZType(),
     "datetime64[ms]": T.TimestampNTZType(), "datetime64[s]": T.TimestampNTZType(), "timedelta64": T.DayTimeIntervalType(), "object": T.StringType(),
 }
-#: Layouts that casts and CSV dates try, in order (month first).
-CAST_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
-#: Layouts that parsing, comparisons and labels try, in order (day first).
-PARSE_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy")
+#: Layouts that casts and CSV dates try, in order (month first). Seconds may have a fraction of any length.
+CAST_LAYOUTS = ("yyyy-MM-ddTHH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
+#: Layouts that parsing, comparisons and labels try, in order (day first, then month first).
+PARSE_LAYOUTS = ("yyyy-MM-ddTHH:mm:ssXXX", "yyyy-MM-ddTHH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy")
 #: Strftime directives and the patterns that stand for them.
 DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "z": "xx", "%": "'%'"}
 TRUE, FALSE = ("true", "t", "1", "yes"), ("false", "f", "0", "no")
@@ -89,9 +91,61 @@ def strftime(layout: str) -> str:
     return "".join(out)
 
 
+#: What stands in a text for each field of a layout. The hour may have one digit, a fraction follows a dot or a comma.
+_FIELDS = {"yyyy": "([0-9]{4})", "MM": "([0-9]{2})", "dd": "([0-9]{2})", "HH:mm:ss": "([0-9]{1,2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?", "XXX": "(Z|[+-](?:[01][0-9]|2[0-4]):[0-5][0-9])"}
+
+
+@lru_cache
+def _form(layout: str) -> tuple[str, dict[str, int]]:
+    """The expression that the texts of a layout match as a whole, and the numbers of its groups."""
+    at: dict[str, int] = {}
+
+    def field(m: re.Match) -> str:
+        at[m.group()] = len(at) + 1
+        if m.group() == "HH:mm:ss":
+            at["fraction"] = len(at) + 1
+        return _FIELDS[m.group()]
+
+    return re.sub("yyyy|MM|dd|HH:mm:ss|XXX", field, layout), at
+
+
+def _read_time(c: Column, layout: str) -> Column:
+    """The text's form is tested first, so what doesn't fit costs no exception; then one cast reads it."""
+    form, at = _form(layout)
+    form = rf"\A{form}\z"
+    plain = f"${at['yyyy']}-${at['MM']}-${at['dd']}"
+    if "HH:mm:ss" in at:
+        plain += f" ${at['HH:mm:ss']}"
+    got = F.regexp_replace(c, form, plain).try_cast("timestamp_ntz")
+    if "fraction" in at:
+        got = F.timestamp_add("MICROSECOND", F.rpad(F.regexp_extract(c, form, at["fraction"]), 6, "0").cast("int"), got)
+    if "XXX" in at:
+        zone = F.regexp_extract(c, form, at["XXX"])
+        minutes = F.when(zone == "Z", 0).otherwise(F.substring(zone, 1, 3).try_cast("int") * 60 + F.concat(F.substring(zone, 1, 1), F.substring(zone, 5, 2)).try_cast("int"))
+        got = F.timestamp_add("MINUTE", -minutes, got)
+    return F.when(c.rlike(form), got)
+
+
 def parse_time(c: Column, layouts=PARSE_LAYOUTS) -> Column:
-    """The first layout that fits the trimmed text; NULL if none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(x)).cast("timestamp_ntz") for x in layouts])
+    """The time by the first layout that fits the whole text, in UTC if it names its zone; NULL if none fits. Fractions
+    are cut to microseconds."""
+    return F.coalesce(*[_read_time(c, x) for x in layouts])
+
+
+def time_of(text: str, layouts=CAST_LAYOUTS) -> dt.datetime:
+    """A single text as parse_time reads it, by the layouts of casts unless others are given."""
+    for layout in layouts:
+        form, at = _form(layout)
+        if m := re.fullmatch(form, text):
+            clock = map(int, m[at["HH:mm:ss"]].split(":")) if "HH:mm:ss" in at else (0, 0, 0)
+            micros = int((m[at["fraction"]] or "").ljust(6, "0")) if "fraction" in at else 0
+            zone = m[at["XXX"]] if "XXX" in at else "Z"
+            minutes = 0 if zone == "Z" else int(zone[:3]) * 60 + int(zone[0] + zone[4:])
+            try:
+                return dt.datetime(*(int(m[at[k]]) for k in ("yyyy", "MM", "dd")), *clock, micros) - dt.timedelta(minutes=minutes)
+            except (ValueError, OverflowError):
+                continue
+    raise ParseError(f"{text!r} is not a time in any of {len(layouts)} layouts")
 
 
 def cast(c: Column, have: T.DataType, want: T.DataType, strict: bool = True) -> Column:

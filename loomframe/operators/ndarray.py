@@ -480,14 +480,18 @@ class NDArray:
         return NDArray(self.df.select(place.alias("i"), "v").groupBy("i").agg(self._reduced(how, ddof).alias("v")), shape)
 
     def arg(self, how: str, axis: int | None = None) -> Any:
-        """The first place of the min or max, flat or along an axis."""
+        """The first place of the min or max, flat or along an axis. NaN is never better than what came before, so a NaN
+        at place 0 stays and others are passed over."""
         v = F.col("v").cast("double")
-        lead = v if how == "min" else -v
+
+        def lead(at: Column) -> Column:
+            return F.struct((~(F.isnan(v) & (at == 0))).alias("later"), (v if how == "min" else -v).alias("k"), at.alias("a"))
+
         if axis is None:
-            return self.df.agg(F.min(F.struct(lead.alias("k"), "i")).alias("r")).first()["r"]["i"]
+            return self.df.agg(F.min(lead(F.col("i"))).alias("r")).first()["r"]["a"]
         shape, place = self._rest(axis)
         k = axis if axis >= 0 else self.ndim + axis
-        pick = F.min(F.struct(lead.alias("k"), _axes(F.col("i"), self.shape)[k].alias("a")))["a"]
+        pick = F.min(lead(_axes(F.col("i"), self.shape)[k]))["a"]
         return NDArray(self.df.select(place.alias("p"), "i", "v").groupBy("p").agg(pick.alias("v")).withColumnRenamed("p", "i"), shape)
 
     # --- order ---------------------------------------------------------------------------------------------

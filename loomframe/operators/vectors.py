@@ -67,12 +67,18 @@ def high(c: Column) -> Column:
 
 
 def argmin(c: Column) -> Column:
-    """The first place of the minimum."""
-    return F.array_position(doubles(c), F.array_min(doubles(c))) - 1
+    """The first place of the minimum, NaN passed over; 0 if NaN is at place 0."""
+    return _arg(c, F.array_min)
 
 
 def argmax(c: Column) -> Column:
-    return F.array_position(doubles(c), F.array_max(doubles(c))) - 1
+    """The first place of the maximum, NaN passed over; 0 if NaN is at place 0."""
+    return _arg(c, F.array_max)
+
+
+def _arg(c: Column, best: Callable[[Column], Column]) -> Column:
+    x = doubles(c)
+    return F.when(F.isnan(F.get(x, F.lit(0))), F.lit(0).cast("long")).otherwise(F.array_position(x, best(F.filter(x, lambda v: ~F.isnan(v)))) - 1)
 
 
 def dot(a: Column, b: Column) -> Column:

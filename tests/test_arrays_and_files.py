@@ -105,6 +105,10 @@ def test_reductions(spark, m):
     odd = NDArray.of(spark, [1.0, float("nan"), 3.0])
     assert odd.reduce("sum") != odd.reduce("sum") and odd.reduce("min") != odd.reduce("min")
     assert m.arg("max") == 5 and m.arg("min", 1).tolist() == [0, 0] and m.arg("max", 0).tolist() == [1, 1, 1]
+    nan = float("nan")
+    assert NDArray.of(spark, [nan, 1.0, 2.0]).arg("max") == 0 and NDArray.of(spark, [1.0, nan, 2.0, 0.5]).arg("max") == 2
+    lines = NDArray.of(spark, [[nan, 1.0, 2.0], [3.0, nan, 1.0], [nan, nan, nan]])
+    assert lines.arg("max", 1).tolist() == [0, 0, 0] and lines.arg("min", 1).tolist() == [0, 2, 0] and lines.arg("max", 0).tolist() == [0, 0, 0]
     assert m.gt(4.0).any() and not m.gt(4.0).all() and m.gt(1.0).count_true() == 4
 
 

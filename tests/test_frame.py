@@ -7,6 +7,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from loomframe import errors
 from loomframe.expr import col, len_, lit, where
 from loomframe.expr.ast import Custom
@@ -420,3 +422,28 @@ def test_frames_from_objects(spark):
     assert Frame.from_map(spark, {"b": [1, 2], "a": [1.5, float("nan")]}).rows() == [(1.5, 1), (None, 2)]
     assert Frame.from_records(spark, [{"x": 1}, {"y": "a"}]).rows() == [(1, None), (None, "a")]
     assert Frame(spark.range(2).toDF("v"), [Key("v")]).rows() == [(0,), (1,)]
+
+
+def test_time_layouts(spark):
+    """Day first, then month first; clocks with and without a fraction or a zone; forms that no layout has are refused."""
+    from loomframe.errors import ParseError
+    from loomframe.functions import datetimes, dtypes
+
+    t = dt.datetime
+    cases = {
+        "25/12/2023": t(2023, 12, 25), "12/25/2023": t(2023, 12, 25), "05/06/2023": t(2023, 6, 5), "2023/02/01": t(2023, 2, 1), "2023-02-01": t(2023, 2, 1),
+        "2023-01-02T03:04:05Z": t(2023, 1, 2, 3, 4, 5), "2023-01-02T03:04:05+02:30": t(2023, 1, 2, 0, 34, 5), "2023-01-02T03:04:05-01:00": t(2023, 1, 2, 4, 4, 5),
+        "2023-01-02T03:04:05.123456789Z": t(2023, 1, 2, 3, 4, 5, 123456), "2023-01-02 03:04:05.5": t(2023, 1, 2, 3, 4, 5, 500000), "2023-01-02T03:04:05": t(2023, 1, 2, 3, 4, 5),
+        "25-12-2023": None, "2023-01-02 03:04": None, "30/02/2023": None, "2023-02-30": None, "": None, " 2023-02-01": None, "2023-02-01\n": None, "2023-01-02 25:00:00": None, "2023-01-02 03:04:05Z": None,
+    }
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    got = {r.s: r.d for r in df.select("s", datetimes.to_datetime(F.col("s"), df.schema["s"].dataType, errors="coerce").alias("d")).collect()}
+    assert got == cases
+    for s, want in cases.items():
+        if want is None:
+            with pytest.raises(ParseError):
+                dtypes.time_of(s, dtypes.PARSE_LAYOUTS)
+        else:
+            assert dtypes.time_of(s, dtypes.PARSE_LAYOUTS) == want
+    month_first = {r.s: r.d for r in df.select("s", dtypes.parse_time(F.col("s"), dtypes.CAST_LAYOUTS).alias("d")).collect()}
+    assert month_first["05/06/2023"] == t(2023, 5, 6) and month_first["25/12/2023"] is None and month_first["2023-01-02T03:04:05"] is None
