@@ -17,6 +17,9 @@ from loomframe.llm.common import batches, per_text, text_of
 #: words and n-grams kept (those that make up most of their language), length of the longest n-gram.
 SAMPLE, LANGUAGES, WORDS, GRAMS, LONGEST = 3000, 256, 120_000, 120_000, 5
 UNKNOWN = "und"
+#: Characters of a slice. A run of letters longer than that, with its two edges, isn't a word: it is told by its slices,
+#: which overlap so that each n-gram of the run is in one; every slice weighs as a word.
+SLICE = 66
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -31,9 +34,13 @@ def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     return rows.select(rows[id_col].cast("string").alias("_id"), rows[lang_col].cast("string").alias("_lang"), text_of(rows, text_col).alias("_text"))
 
 
-def grams(word: str, n: int) -> list[str]:
+def slices(word: str) -> list[str]:
     marked = f" {word} "
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    return [marked[i : i + SLICE] for i in range(0, max(1, len(marked) - LONGEST + 1), SLICE - LONGEST + 1)]
+
+
+def grams(part: str, n: int) -> list[str]:
+    return [part[i : i + n] for i in range(len(part) - n + 1)]
 
 
 def _logs(counts: list[int], totals: list[int], kinds: int) -> tuple[float, ...]:
@@ -49,42 +56,46 @@ class Model:
         self.pieces = {g: _logs(c, piece_total[len(g)], len(pieces)) for g, c in pieces.items()}
 
     def scorer(self):
-        """text -> (language, score). The score is the winner's posterior on the mean evidence of a word, counted for
+        """text -> (language, score, words and slices that are known or have a known n-gram). The score is the winner's posterior on the mean evidence of a word, counted for
         as many words as are known, 20 at most, so that long texts don't all score 1."""
         known, parts = self.words, self.pieces
         names, kinds = self.languages, len(self.languages)
         total = sum(self.prior) or 1
-        cache: dict[str, tuple[float, ...]] = {}
+        cache: dict[str, list[tuple[float, ...]]] = {}
 
-        def unseen(word: str) -> tuple[float, ...] | None:
-            for n in range(min(LONGEST, len(word) + 2), 0, -1):
-                if found := [parts[g] for g in grams(word, n) if g in parts]:
+        def unseen(part: str) -> tuple[float, ...] | None:
+            for n in range(min(LONGEST, len(part)), 0, -1):
+                if found := [parts[g] for g in grams(part, n) if g in parts]:
                     return tuple(sum(x) / len(found) for x in zip(*found, strict=True))
             return None
 
-        def logs(word: str) -> tuple[float, ...] | None:
-            if word not in cache:
-                if len(cache) > 200_000:
-                    cache.clear()
-                cache[word] = known.get(word) or unseen(word[:64])
-            return cache[word]
-
-        def score(text: str) -> tuple[str, float]:
+        def logs(word: str) -> list[tuple[float, ...]]:
+            """The word's own logs or those of its slices that have a known n-gram."""
+            if (x := cache.get(word)) is None:
+                own = known.get(word)
+                x = [own] if own else [y for p in slices(word) if (y := unseen(p)) is not None]
+                if len(word) < SLICE:
+                    if len(cache) > 200_000:
+                        cache.clear()
+                    cache[word] = x
+            return x
+
+        def score(text: str) -> tuple[str, float, int]:
             counts = Counter(_WORD.findall(text.lower()))
             if not counts or not names:
-                return UNKNOWN, 0.0
+                return UNKNOWN, 0.0, 0
             sums, seen = [0.0] * kinds, 0
             for word, n in counts.items():
-                if (x := logs(word)) is not None:
+                for x in logs(word):
                     seen += n
                     for i in range(kinds):
                         sums[i] += n * x[i]
             if not seen:
                 best = max(range(kinds), key=lambda i: (self.prior[i], -i))
-                return names[best], self.prior[best] / total
+                return names[best], self.prior[best] / total, 0
             keep = min(seen, 20) / seen
             top = max(range(kinds), key=lambda i: (sums[i], self.prior[i], -i))
-            return names[top], 1 / sum(math.exp(max(-700.0, keep * (s - sums[top]))) for s in sums)
+            return names[top], 1 / sum(math.exp(max(-700.0, keep * (s - sums[top]))) for s in sums), seen
 
         return score
 
@@ -111,11 +122,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         totals = {r["_lang"]: r["t"] for r in words.groupBy("_lang").agg(F.sum("_n").alias("t")).collect()}
         weight = F.create_map(*[F.lit(x) for lang in languages for x in (lang, 1.0 / max(1, totals.get(lang, 0)))])
         top = lambda df, key, n: df.orderBy(F.desc("_w"), key, "_lang").limit(n).collect()
-        kept = top(words.withColumn("_w", F.col("_n") * weight[F.col("_lang")]), "_word", WORDS)
-        marked = F.concat(F.lit(" "), F.substring("_word", 1, 64), F.lit(" "))
-        cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.substr(marked, i, F.lit(n)))
-        lists = F.flatten(F.array(*[F.when(F.length(marked) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]))
-        pieces = words.select("_lang", "_n", F.explode(lists).alias("_gram")).groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n"))
+        marked, part = F.concat(F.lit(" "), "_word", F.lit(" ")), F.col("_part")
+        whole = F.length(marked) <= SLICE
+        kept = top(words.filter(whole).withColumn("_w", F.col("_n") * weight[F.col("_lang")]), "_word", WORDS)
+        starts = F.sequence(F.lit(0), F.greatest(F.length(marked) - LONGEST, F.lit(0)), F.lit(SLICE - LONGEST + 1))
+        sliced = F.when(whole, F.array(marked)).otherwise(F.transform(starts, lambda i: F.substr(marked, i + 1, F.lit(SLICE))))
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(part) - (n - 1)), lambda i: F.substr(part, i, F.lit(n)))
+        lists = F.flatten(F.array(*[F.when(F.length(part) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]))
+        pieces = words.select("_lang", "_n", F.explode(sliced).alias("_part")).select("_lang", "_n", F.explode(lists).alias("_gram")).filter("_gram != ' '").groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n"))
         heavy = top(pieces.withColumn("_w", F.col("_n") * weight[F.col("_lang")]), "_gram", GRAMS)
     finally:
         words.unpersist()
@@ -134,25 +148,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, lang_pred, score (0 to 1), from the text alone.
+    """Per document: doc_id, lang_pred, score (0 to 1), n_known (words and slices that told it), from the text alone.
 
     A text that is null or has no letters is `und` with score 0. A text of which no word or n-gram is known gets the
     most frequent language with its share of the labels as score. Of equal scores the more frequent language wins.
     Repeated rows are judged each; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return per_text(docs, lambda: shared.value.scorer(), {"lang_pred": "string", "score": "double"}, id_col, text_col)
+    return per_text(docs, lambda: shared.value.scorer(), {"lang_pred": "string", "score": "double", "n_known": "long"}, id_col, text_col)
 
 
 def with_language(docs: DataFrame, model: Model, to: str, text_col: str = "text") -> DataFrame:
-    """docs with a column `to`: a struct of lang_pred and score; other columns stay as they are."""
+    """docs with a column `to`: a struct of lang_pred, score and n_known; other columns stay as they are."""
     batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, n_known long")
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = shared.value.scorer()
         for texts in parts:
-            yield pd.DataFrame([score(t or "") for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([score(t or "") for t in texts], columns=["lang_pred", "score", "n_known"])
 
     return docs.withColumn(to, judged(docs[text_col].cast("string")))

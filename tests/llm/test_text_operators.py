@@ -160,10 +160,24 @@ def test_language_edges(spark):
     asked = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "le chien " * 20_000), (5, "日本"), (5, "日本"), (None, "the cats"), (6, "²"), (7, "½ 12 ①")], "doc_id long, text string")
     got = {(r.doc_id, r.lang_pred) for r in language_id.predict(asked, model).collect()}
     assert got == {(1, "und"), (2, "und"), (3, "und"), (4, "fr"), (5, "en"), (None, "en"), (6, "und"), (7, "und")}
+    known = {r.doc_id: r.n_known for r in language_id.predict(asked.filter("doc_id in (2, 4, 5)"), model).collect()}
+    assert known == {2: 0, 4: 40_000, 5: 0}
     empty = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.predict(asked, empty).collect()} == {"und"}
 
 
+def test_language_of_long_runs(spark):
+    """A run of letters counts as a whole: what follows its 64th letter too, when learning and when predicting."""
+    for n in (1, 64, 65, 66, 67, 128, 129, 130, 500):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        for k in range(1, language_id.LONGEST + 1):
+            assert {g for p in language_id.slices(word) for g in language_id.grams(p, k)} == set(language_id.grams(f" {word} ", k))
+    rows = [(i, "thecatandthedog" * 8, "en") for i in range(20)] + [(i, "q" * 200 + "lechienetlechat" * 8, "fr") for i in range(20, 40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "thecatandthedog" * 4 + "lechienetlechat" * 40), (2, "lechien" * 9 + "andthecat" * 4000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()} == {1: "fr", 2: "en"}
+
+
 def split_plainly(url):
     if url is None or "://" not in url:
         return "", ""
