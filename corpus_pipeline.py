@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 from loomframe.llm import exact_dedup, language_id, minhash_dedup, packing, pii
 from loomframe.llm.common import durable, table
 
-#: A document goes if its language can't be told (no letters) or is less likely than this.
-LEAST = 0.25
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told with a score of at least LEAST; the model learns from `docs`."""
+    """Keeps documents whose language is told by a known word or n-gram at least, so texts without letters or in a
+    script that no learnt language has go; the model learns from `docs`. Without labelled rows nothing can be told."""
     mark = "_language"
     while mark in docs.columns:
         mark += "_"
     judged = language_id.with_language(docs, language_id.fit(docs), mark)
-    return judged.filter((F.col(f"{mark}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{mark}.score") >= LEAST)).select(*docs.columns)
+    return judged.filter(F.col(f"{mark}.n_known") > 0).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
