@@ -7,6 +7,8 @@ order keys that are not data. Without labels a frame has the default labels 0, 1
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
+from operator import or_
 from typing import TYPE_CHECKING, Any
 
 import pandas as pd
@@ -20,7 +22,7 @@ from loomframe.errors import ColumnNotFound, InvalidDType, InvalidIndex, Invalid
 from loomframe.expr.ast import Expr, Schema
 from loomframe.expr.parser import parse
 from loomframe.functions import dtypes, na
-from loomframe.plans.order import POS, Key, sort_columns, with_position
+from loomframe.plans.order import BLOCK, POS, Key, quantiles, sort_columns, with_position
 
 if TYPE_CHECKING:
     from loomframe.operators.groupby import GroupBy
@@ -30,6 +32,8 @@ if TYPE_CHECKING:
 cloudpickle.register_pickle_by_value(loomframe)
 
 NUMBER = "number"
+#: Positions of one slice that are listed (longer slices are filters), and labels that are pushed down as a filter.
+LISTED, PUSHED = 1000, 50
 
 
 def q(name: str) -> Column:
@@ -320,10 +324,15 @@ class Frame:
         return self._with(self.positioned().filter(keep(F.col(POS))).drop(POS))
 
     def head(self, n: int = 5) -> Frame:
+        if n > BLOCK:  # a limit merges that many rows in one task
+            return self._by_position(lambda p: p < n)
         return self._with(self.df.orderBy(*sort_columns(self.order)).limit(max(0, n)))
 
     def tail(self, n: int = 5) -> Frame:
         """The last n rows. Reversed keys put missing ones first, so the last rows are those at the top."""
+        if n > BLOCK:
+            least = len(self) - n
+            return self._by_position(lambda p: p >= least)
         back = [q(k.name).desc_nulls_first() if k.ascending else q(k.name).asc_nulls_first() for k in self.order]
         return self._with(self.df.orderBy(*back).limit(max(0, n)))
 
@@ -331,6 +340,8 @@ class Frame:
         n = len(self)
         if not 0 <= start <= stop <= n:
             raise OutOfBounds(f"[{start}, {stop}) of {n} rows")
+        if stop > BLOCK:
+            return self._by_position(lambda p: (p >= start) & (p < stop))
         return self._with(self.df.orderBy(*sort_columns(self.order)).offset(start).limit(stop - start))
 
     def take(self, positions: Sequence[int]) -> Frame:
@@ -340,9 +351,9 @@ class Frame:
             raise OutOfBounds(f"position beyond {n} rows")
         return self._gather([p if p >= 0 else None for p in positions])
 
-    def _gather(self, positions: Sequence[int | None]) -> Frame:
+    def _gather(self, positions: Sequence[int | None], places: Sequence[int] | None = None) -> Frame:
         spark = self.df.sparkSession
-        want = spark.createDataFrame([(i, p) for i, p in enumerate(positions)], "__at long, __pos long")
+        want = spark.createDataFrame(list(zip(places or range(len(positions)), positions, strict=True)), "__at long, __pos long")
         near = self.positioned().drop(*self.hidden)
         if positions and (there := [p for p in positions if p is not None]):
             near = near.filter(F.col(POS).isin(there)) if len(there) <= 1000 else near
@@ -353,17 +364,36 @@ class Frame:
     def iloc_rows(self, *picks: int | slice) -> Frame:
         """Rows by position in the order asked for: ints (negative ones count from the end) and slices with a positive step."""
         n = len(self)
-        at: list[int | None] = []
+        at, places, runs, place = [], [], [], 0
         for p in picks:
             if isinstance(p, slice):
                 if (p.step or 1) < 0:
                     raise NotSupported("slices with a negative step")
-                at += range(*p.indices(n))
+                run = range(*p.indices(n))
             else:
                 if not -n <= p < n:
                     raise OutOfBounds(f"{p} of {n} rows")
-                at.append(p % n)
-        return self._gather(at)
+                run = range(p % n, p % n + 1)
+            if len(run) > LISTED:
+                runs.append((place, run))
+            else:
+                at += run
+                places += range(place, place + len(run))
+            place += len(run)
+        if not runs:
+            return self._gather(at, places)
+        out = self._runs(runs)
+        if not at:
+            return out
+        few = self._gather(at, places)
+        return Frame(out.df.unionByName(few.df.withColumnRenamed(few.order[0].name, out.order[0].name)), out.order, self.index)
+
+    def _runs(self, runs: Sequence[tuple[int, range]]) -> Frame:
+        """Rows of long slices, told by arithmetic on positions: (place of the first, positions)."""
+        df = self.positioned().drop(*self.hidden)
+        order, p = fresh(df), F.col(POS)
+        at = [F.when((p >= r.start) & (p < r.stop) & ((p - r.start) % r.step == 0), F.floor((p - r.start) / r.step) + first) for first, r in runs]
+        return Frame(df.withColumn(order, F.explode(F.array_compact(F.array(*at)))).drop(POS), [Key(order)], self.index)
 
     def iloc_cols(self, *picks: int) -> Frame:
         names = self.columns
@@ -384,6 +414,10 @@ class Frame:
         if n > len(self):
             raise OutOfBounds(f"{n} of {len(self)} rows")
         draw = F.xxhash64(F.lit(seed), *[q(k.name) for k in self.order])
+        if n > BLOCK:
+            by = fresh(self.df)
+            at = with_position(self.df.withColumn(by, draw), (Key(by), *self.order))
+            return self._with(at.filter(F.col(POS) < n).drop(POS, by))
         return self._with(self.df.orderBy(draw, *sort_columns(self.order)).limit(n))
 
     def dropna(self, how: str = "any", subset: Sequence[str] = (), thresh: int | None = None, axis: int = 0) -> Frame:
@@ -562,10 +596,11 @@ class Frame:
         """All rows of each label, in the order asked for; a label that isn't there is refused."""
         df, name = self._labels()
         order = fresh(df)
-        parts = [df.filter(q(name) == self._label_value(df, name, v)).withColumn(order, F.lit(i).cast("long")) for i, v in enumerate(labels)]
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
+        values = [self._label_value(df, name, v) for v in labels]
+        near = df.filter(reduce(or_, [q(name) == v for v in values])) if len(values) <= PUSHED else df
+        asked = F.array(*[F.struct(F.lit(i).cast("long").alias(order), v.alias("__label")) for i, v in enumerate(values)])
+        table = df.sparkSession.range(1).select(F.inline(asked))
+        found = near.join(table, q(name) == F.col("__label")).drop("__label")
         seen = {r[order] for r in found.select(order).distinct().collect()}
         if missing := [v for i, v in enumerate(labels) if i not in seen]:
             raise InvalidIndex(missing)
@@ -635,7 +670,17 @@ class Frame:
 
         chosen = list(names) or (self.columns if how in ("count", "min", "max", "nunique") else self.numeric())
         self._need(chosen)
-        return Frame.of(self.df.agg(*[reduction(how, q(n), self.schema[n], **options).alias(n) for n in chosen]))
+        one = {n: reduction(how, q(n), self.schema[n], **options).alias(n) for n in chosen}
+        if how in ("median", "quantile") and options.get("skipna", True) and self._large():
+            return Frame.of(self.df.sparkSession.range(1).select(*[self._quantiles(n, [options.get("at", 0.5)])[0].alias(n) for n in one]))
+        return Frame.of(self.df.agg(*one.values()))
+
+    def _large(self) -> bool:
+        return self.df.limit(BLOCK + 1).count() > BLOCK
+
+    def _quantiles(self, name: str, at: list[float]) -> list[Column]:
+        found = quantiles(self.df, na.as_double(q(name), self.schema[name].dataType), at)
+        return [F.lit(v).cast("double") for v in found]
 
     def sum(self, **o):
         return self.agg_row("sum", **o)
@@ -674,7 +719,13 @@ class Frame:
         chosen = self.numeric(names)
         stats = [("count", {}), ("mean", {}), ("std", {}), ("min", {}), ("quantile", {"at": 0.25}), ("quantile", {"at": 0.5}), ("quantile", {"at": 0.75}), ("max", {})]
         labels = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-        one = self.df.agg(*[F.array(*[reduction(h, q(n), self.schema[n], **o).cast("double") for h, o in stats]).alias(f"s{i}") for i, n in enumerate(chosen)])
+        ranked = {n: self._quantiles(n, [0.25, 0.5, 0.75]) for n in chosen} if self._large() else {}
+
+        def each(n: str) -> Column:
+            found = iter(ranked.get(n, ()))
+            return F.array(*[next(found) if h == "quantile" and ranked else reduction(h, q(n), self.schema[n], **o).cast("double") for h, o in stats])
+
+        one = self.df.agg(*[each(n).alias(f"s{i}") for i, n in enumerate(chosen)])
         rows = one.select(F.posexplode(F.arrays_zip(F.array(*map(F.lit, labels)).alias("stat"), *[F.col(f"s{i}") for i in range(len(chosen))])).alias("__o0", "z"))
         return Frame(rows.select("__o0", F.col("z.stat").alias("stat"), *[F.col(f"z.s{i}").alias(n) for i, n in enumerate(chosen)]), [Key("__o0")], ["stat"])
 

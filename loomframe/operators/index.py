@@ -7,10 +7,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.errors import InvalidIndex, LengthMismatch
 from loomframe.operators.frame import Frame, Key, q
-from loomframe.plans.order import sort_columns
+from loomframe.plans.order import POS, in_frames, sort_columns, with_position
 
 
 def _distinct(f: Frame) -> Frame:
@@ -62,9 +63,10 @@ def levels(f: Frame) -> list[list[Any]]:
 def codes(f: Frame) -> Frame:
     """For each row the places of its labels in the levels, -1 for missing: columns named after the levels."""
     df = f.df
-    for n, values in zip(f.index, levels(f), strict=True):
-        table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"__v {df.schema[n].dataType.simpleString()}, `__c_{n}` long")
-        df = df.join(F.broadcast(table), q(n) == F.col("__v"), "left").drop("__v").withColumn(f"__c_{n}", F.coalesce(q(f"__c_{n}"), F.lit(-1)))
+    for n in f.index:  # the level tables stay distributed, so that they may be of any size
+        values = df.select(q(n).alias("__v")).filter("__v is not null").distinct()
+        table = with_position(values, (Key("__v"),), f"__c_{n}")
+        df = df.join(table, q(n) == F.col("__v"), "left").drop("__v").withColumn(f"__c_{n}", F.coalesce(q(f"__c_{n}"), F.lit(-1).cast("long")))
     order = [Key(f"__o{i}", k.ascending) for i, k in enumerate(f.order)]
     return Frame(df.select(*[q(f"__c_{n}").alias(n) for n in f.index], *[q(k.name).alias(o.name) for k, o in zip(f.order, order, strict=True)]), order)
 
@@ -75,7 +77,16 @@ def tuples(f: Frame) -> list[tuple]:
 
 
 def equal(a: Frame, b: Frame) -> bool:
-    return len(a.index) == len(b.index) and tuples(a) == tuples(b)
+    """Whether both have the same labels in the same order, missing ones equal; text equals text only."""
+    text = [[isinstance(f.df.schema[n].dataType, T.StringType) for n in f.index] for f in (a, b)]
+    if text[0] != text[1]:
+        return False
+    side = lambda f, s: f.positioned().select(F.col(POS).alias(f"__{s}"), *[q(n).alias(f"__{s}{i}") for i, n in enumerate(f.index)])
+    both = side(a, "a").join(side(b, "b"), F.col("__a") == F.col("__b"), "full")
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    for i in range(len(a.index)):
+        same &= F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}"))
+    return both.filter(~same).isEmpty()
 
 
 def from_arrays(spark, arrays: Sequence[Sequence[Any]], names: Sequence[str]) -> Frame:
@@ -111,8 +122,6 @@ def ends(f: Frame) -> tuple[Any, Any]:
 
 def is_monotonic_increasing(f: Frame) -> bool:
     """Whether labels never fall; with a missing one they aren't in order."""
-    from loomframe.plans.order import POS, in_frames
-
     df, name = f._labels()
     at: DataFrame = Frame(df, f.order).positioned().select(POS, q(name).alias("l"))
     seen = in_frames(at, 1, 0, lambda w: {"p": F.lag("l").over(w)})

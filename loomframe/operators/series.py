@@ -13,7 +13,7 @@ from loomframe.errors import InvalidOperation, LengthMismatch, TypeMismatch
 from loomframe.functions import categorical, datetimes, dtypes, na, strings
 from loomframe.operators import window
 from loomframe.operators.frame import Frame, Key, q
-from loomframe.plans.order import POS
+from loomframe.plans.order import POS, quantiles
 
 MINMAX = {"min": F.min, "max": F.max}
 #: Reductions that need numbers.
@@ -104,6 +104,9 @@ class Series:
     # --- reductions (values on the driver) -----------------------------------------------------------------
 
     def _reduce(self, how: str, **options) -> Any:
+        if how in ("median", "quantile") and options.get("skipna", True) and self.frame._large():
+            reduction(how, self.column, self.field, **options)  # refuses what it refuses
+            return quantiles(self.frame.df, na.as_double(self.column, self.field.dataType), [options.get("at", 0.5)])[0]
         return self.frame.df.agg(reduction(how, self.column, self.field, **options).alias("v")).first()["v"]
 
     def count(self):

@@ -14,6 +14,7 @@ from loomframe.expr import col, len_, lit, where
 from loomframe.expr.ast import Custom
 from loomframe.expr.parser import parse
 from loomframe.functions import categorical, dtypes
+from loomframe.operators import frame
 from loomframe.operators import index as labels
 from loomframe.operators.concat import concat
 from loomframe.operators.frame import Frame, Key
@@ -22,6 +23,7 @@ from loomframe.operators.merge import join, merge
 from loomframe.operators.resample import resample
 from loomframe.operators.reshape import melt, pivot, pivot_table, stack, unstack
 from loomframe.operators.series import Series
+from loomframe.plans import order
 
 
 @pytest.fixture(scope="module")
@@ -447,3 +449,60 @@ def test_time_layouts(spark):
             assert dtypes.time_of(s, dtypes.PARSE_LAYOUTS) == want
     month_first = {r.s: r.d for r in df.select("s", dtypes.parse_time(F.col("s"), dtypes.CAST_LAYOUTS).alias("d")).collect()}
     assert month_first["05/06/2023"] == t(2023, 5, 6) and month_first["25/12/2023"] is None and month_first["2023-01-02T03:04:05"] is None
+
+
+def test_blocks_are_cut_on_all_order_keys(spark):
+    df = spark.range(0, 2000).select(F.lit("same").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("b"), F.col("id").alias("c"))
+    for keys in ((Key("a"), Key("b", False), Key("c")), (Key("b"), Key("c", False)), (Key("a"), Key("c"))):
+        got = {r["c"]: r["__pos"] for r in order.with_position(df, keys, block=100).collect()}
+        by = lambda r: [(r[k.name] is None, 0 if r[k.name] is None else r[k.name] if k.name == "a" or k.ascending else -r[k.name]) for k in keys]
+        assert got == {r["c"]: i for i, r in enumerate(sorted(df.collect(), key=by))}
+        blocks = order._block(df, keys, order._bounds(df, keys, 20))
+        assert max(r["count"] for r in df.groupBy(blocks).count().collect()) <= 200
+
+
+def test_bounds_of_no_rows_and_of_equal_rows(spark):
+    same = spark.range(50).select(F.lit(1).alias("k"), F.lit(None).cast("string").alias("t"))
+    keys = (Key("k"), Key("t"))
+    assert sorted(r["__pos"] for r in order.with_position(same, keys, block=10).collect()) == list(range(50))
+    assert order._bounds(same.limit(0), keys, 3) == []
+
+
+def test_long_selections_go_by_position(spark, monkeypatch):
+    f = Frame.of(spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), order_by="k")
+    short = [f.head(40), f.tail(40), f.slice(5, 45), f.sample(40, seed=3), f.iloc_rows(3, slice(10, 60, 7), -1, slice(0, 200, 2))]
+    want = [x.rows() for x in short]
+    monkeypatch.setattr(frame, "BLOCK", 10)
+    monkeypatch.setattr(frame, "LISTED", 20)
+    long = [f.head(40), f.tail(40), f.slice(5, 45), f.sample(40, seed=3), f.iloc_rows(3, slice(10, 60, 7), -1, slice(0, 200, 2))]
+    assert [x.rows() for x in long] == want
+    assert f.iloc_rows(slice(0, 200)).rows() == f.slice(0, 200).rows()
+
+
+def test_labels_are_found_in_one_scan(spark, monkeypatch):
+    f = Frame.from_rows(spark, [("b", 1), ("a", 2), ("b", 3), (None, 4)], ["k", "v"]).set_index("k")
+    want = [(2,), (1,), (3,), (2,)]
+    assert [r[-1:] for r in f.loc_rows("a", "b", "a").rows()] == want
+    monkeypatch.setattr(frame, "PUSHED", 0)
+    assert [r[-1:] for r in f.loc_rows("a", "b", "a").rows()] == want
+    with pytest.raises(errors.InvalidIndex):
+        f.loc_rows("a", "x")
+
+
+def test_quantiles_by_rank_equal_the_others(spark, monkeypatch):
+    values = [None, 3.5, -1.0, 3.5, 8.25, 0.0, 2.0, 2.0, None, 11.0]
+    f = Frame.from_rows(spark, [(v, i) for i, v in enumerate(values)], "x double, n long")
+    want = [f.quantile(0.3).rows(), f.median().rows(), f.describe().rows()]
+    monkeypatch.setattr(frame, "BLOCK", 3)
+    got = [f.quantile(0.3).rows(), f.median().rows(), f.describe().rows()]
+    for a, b in zip(want, got, strict=True):
+        assert [[pytest.approx(v) for v in r] for r in a] == [list(r) for r in b]
+    assert order.quantiles(f.df.filter("x is null"), F.col("x"), [0.5]) == [None]
+    assert order.quantiles(f.df, F.col("x"), [0.5], block=2) == [pytest.approx(2.75)]
+
+
+def test_level_codes_and_equality_stay_distributed(spark):
+    f = Frame.from_rows(spark, [("b", 1), (None, 2), ("a", 1)], ["k", "m"]).set_index("k", "m")
+    assert labels.codes(f).rows() == [(1, 0), (-1, 1), (0, 0)]
+    g = Frame.from_rows(spark, [("b", 1), (None, 2)], ["k", "m"]).set_index("k", "m")
+    assert labels.equal(f, f) and not labels.equal(f, g) and not labels.equal(g, f)
