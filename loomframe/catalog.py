@@ -1193,6 +1193,230 @@ def udf_frame_map(t):
     return t.region.select("r_regionkey").assign("r_name", f.col("r_name"))
 
 
+# --- series, labels, files and arrays by themselves ---------------------------------------------------------
+
+
+@query("select o_orderkey, o_totalprice + o_custkey as s, o_totalprice - 1.5 as d, o_custkey * 3 as p, o_totalprice / nullif(o_custkey, 0) as r, o_custkey % 7 as m from orders where o_custkey > 0")
+def series_arith(t):
+    f = t.orders.query("o_custkey > 0")
+    a, b = f.col("o_totalprice"), f.col("o_custkey")
+    out = f.assign("s", a.add(b)).assign("d", f.col("o_totalprice").sub(1.5))
+    out = out.assign("p", out.col("o_custkey").mul(3)).assign("r", out.col("o_totalprice").div(out.col("o_custkey")))
+    return out.assign("m", out.col("o_custkey").mod(7)).select("o_orderkey", "s", "d", "p", "r", "m")
+
+
+@query("select s_suppkey, round(pow(s_nationkey, 2.0), 6) as p, s_name || '!' as n from supplier")
+def series_pow_text(t):
+    f = t.supplier
+    f = f.assign("p", f.col("s_nationkey").pow(2.0))
+    return f.assign("n", f.col("s_name").add("!")).select("s_suppkey", "p", "n")
+
+
+@query("select o_orderkey, o_totalprice > 200000 as gt, o_orderstatus = 'F' as eq, o_orderstatus <> 'F' as ne, o_custkey <= o_orderkey as le, coalesce(nullif(o_orderstatus, 'P') = 'F', false) as gap from orders")
+def series_compare(t):
+    f = gapped(t.orders.assign("g", t.orders.col("o_orderstatus")), g="'P'")
+    out = f.assign("gt", f.col("o_totalprice").gt(200000))
+    for name, make in (("eq", lambda x: x.col("o_orderstatus").eq("F")), ("ne", lambda x: x.col("o_orderstatus").ne("F")), ("le", lambda x: x.col("o_custkey").le(x.col("o_orderkey"))), ("gap", lambda x: x.col("g").eq("F"))):
+        out = out.assign(name, make(out))
+    return out.select("o_orderkey", "gt", "eq", "ne", "le", "gap")
+
+
+@query("select p_partkey, p_size between 10 and 20 as b, p_size > 10 and p_size < 20 as n, p_size >= 10 and p_size < 20 as l, p_brand in ('Brand#1', 'Brand#2') as i from part")
+def series_between_isin(t):
+    f = t.part
+    for name, make in (("b", lambda x: x.col("p_size").between(10, 20)), ("n", lambda x: x.col("p_size").between(10, 20, "neither")), ("l", lambda x: x.col("p_size").between(10, 20, "left")), ("i", lambda x: x.col("p_brand").isin(["Brand#1", "Brand#2", None]))):
+        f = f.assign(name, make(f))
+    return f.select("p_partkey", "b", "n", "l", "i")
+
+
+@query("select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' and c_acctbal > 0")
+def filter_mask(t):
+    f = t.customer.query("c_acctbal > 0")
+    return f.filter(f.col("c_mktsegment").eq("BUILDING")).select("c_custkey", "c_name")
+
+
+@query("select n_name as label from nation union all select r_name from region")
+def concat_series(t):
+    from loomframe.operators.series import concat as concat_all
+
+    return concat_all([t.nation.col("n_name"), t.region.col("r_name")], "label")
+
+
+@query("select abs(c_acctbal) as a, round(sqrt(abs(c_acctbal)), 8) as s, round(ln(abs(c_acctbal) + 1), 8) as l, round(exp(c_nationkey / 10.0), 8) as e, c_custkey from customer")
+def expr_math(t):
+    x = col("c_acctbal").abs()
+    f = t.customer.assign_expr("a", x).assign_expr("s", x.sqrt()).assign_expr("l", (x + 1).log()).assign_expr("e", (col("c_nationkey") / 10).exp())
+    return rounded(f.select("c_custkey", "a", "s", "l", "e"), 8, "s", "l", "e")
+
+
+@query("select p_partkey, lower(p_brand) as lo, upper(p_name) as up, length(p_name)::bigint as n, p_name || '/' || p_brand as both from part")
+def expr_text(t):
+    from loomframe.expr import len_, lower, upper
+
+    f = t.part.assign_expr("lo", lower(col("p_brand"))).assign_expr("up", upper(col("p_name"))).assign_expr("n", len_(col("p_name"))).assign_expr("both", col("p_name") + "/" + col("p_brand"))
+    return f.to_spark().select("p_partkey", "lo", "up", F.col("n").cast("long").alias("n"), "both")
+
+
+@query("select p_partkey, p_size * 2 + 1 as odd from part")
+def expr_custom(t):
+    from pyspark.sql import types as T
+
+    from loomframe.expr.ast import Custom
+
+    return t.part.assign_expr("odd", Custom(lambda schema: F.col("p_size") * 2 + 1, T.IntegerType())).select("p_partkey", "odd")
+
+
+@query("select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
+def merge_validate(t):
+    return merge(t.customer, t.nation, left_on="c_nationkey", right_on="n_nationkey", validate="many_to_one").select("c_custkey", "n_name")
+
+
+@query("select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey")
+def merge_key_widths(t):
+    from pyspark.sql import types as T
+
+    right = t.nation._put({"n_nationkey": F.col("n_nationkey").cast(T.DoubleType())})  # int keys meet float64 keys
+    return merge(t.supplier, right, left_on="s_nationkey", right_on="n_nationkey").select("s_suppkey", "n_name")
+
+
+@query("select a.event_id, b.event_id as other from events a join events b on a.ts = b.ts")
+def merge_time_keys(t):
+    right = t.events.select("event_id", "ts").rename({"event_id": "other"})
+    return merge(t.events.select("event_id", "ts"), right, on="ts").select("event_id", "other")
+
+
+@query("with s as (select distinct c_mktsegment from customer) select c_custkey, c_mktsegment as seg from customer join s using (c_mktsegment)")
+def merge_category_keys(t):
+    left = t.customer.select("c_custkey", "c_mktsegment").rename({"c_mktsegment": "seg"}).astype({"seg": "category"})
+    right = t.customer.select("c_mktsegment").drop_duplicates().rename({"c_mktsegment": "seg"})
+    return merge(left, right, on="seg").to_spark().select("c_custkey", F.col("seg").cast("string").alias("seg"))
+
+
+@query("select event_id::varchar as event_id, round(avg(value) over w, 6) as value, round(avg(user_id) over w, 6) as user_id from events window w as (order by event_id rows 4 preceding) qualify count(*) over w = 5")
+def rolling_frame(t):
+    f = t.events.select("event_id", "user_id", "value")
+    out = f.set_index("event_id").rolling(5).mean()
+    return rounded(out, 6, "value", "user_id").filter("value is not null")
+
+
+@query("select event_id::varchar as event_id, round(sum(value) over w, 4) as value, sum(user_id) over w ::double as user_id from events window w as (order by event_id rows unbounded preceding)")
+def expanding_frame(t):
+    out = t.events.select("event_id", "user_id", "value").set_index("event_id").expanding().sum()
+    return rounded(out, 4, "value")
+
+
+@query("select event_id, user_id from events")
+def sample_all(t):
+    return t.events.sample(len(t.events), seed=3).select("event_id", "user_id")
+
+
+@query("select s_suppkey, s_name, s_acctbal from supplier where s_suppkey < 40")
+def io_csv_options(t):
+    from loomframe.sources import read_csv, write_csv
+
+    write_csv(t.supplier, path := _folder(t, "csv"), sep=";", single=True)
+    return read_csv(t.spark, path, sep=";", trim=True, comment="#", usecols=["s_suppkey", "s_name", "s_acctbal"], nrows=40)
+
+
+@query("select o_orderkey, nullif(o_orderstatus, 'P') as o_orderstatus, o_orderdate from orders")
+def io_csv_dates_na(t):
+    from loomframe.sources import read_csv, write_csv
+
+    write_csv(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), path := _folder(t, "csv"))
+    return read_csv(t.spark, path, na_values=["P"], parse_dates=["o_orderdate"], date_format="%Y-%m-%dT%H:%M:%SZ")
+
+
+@query("select c_custkey as column_0, c_mktsegment as column_1 from customer")
+def io_csv_no_header(t):
+    from loomframe.sources import read_csv, write_csv
+
+    write_csv(t.customer.select("c_custkey", "c_mktsegment"), path := _folder(t, "csv"), header=False)
+    return read_csv(t.spark, path, header=False, categories=["column_1"])
+
+
+@query("select r_regionkey::bigint as column_0, r_name as column_1 from region")
+def io_json_values(t):
+    from loomframe.sources import read_json, write_json
+
+    write_json(t.region.select("r_regionkey", "r_name"), path := _folder(t, "json"), "values")
+    return read_json(t.spark, path, "values")
+
+
+@query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
+def from_records(t):
+    return Frame.from_records(t.spark, t.nation.records())
+
+
+@query("select n_nationkey::bigint as n_nationkey, n_regionkey::bigint as n_regionkey from nation")
+def infer_objects(t):
+    return t.nation.select("n_nationkey", "n_regionkey").astype({"n_nationkey": "string", "n_regionkey": "string"}).infer_objects()
+
+
+@query("select i::bigint as i, (10 + i * 0.5)::double as v from range(20) r(i)")
+def nd_arange(t):
+    return NDArray.arange(t.spark, 10, 20, 0.5).df
+
+
+@query("select (a.i * 5 + b.i)::bigint as i, (case when a.i = b.i then 1 else 0 end)::double as v from range(5) a(i), range(5) b(i)")
+def nd_eye(t):
+    return NDArray.eye(t.spark, 5).df
+
+
+@query("select i::bigint as i, (i * 0.25)::double as v from range(9) r(i)")
+def nd_linspace(t):
+    return NDArray.linspace(t.spark, 0, 2, 9).df.withColumn("v", F.round("v", 9))
+
+
+@query(f"select (r * 64 + j)::bigint as i, trunc(x * 100)::bigint as v from {_CELLS}")
+def nd_astype(t):
+    return _matrix(t).mul(100.0).astype("int64").df
+
+
+@query(f"select (r * 64 + j)::bigint as i, x > 0 as v from {_CELLS}")
+def nd_isnan(t):
+    return _matrix(t).ufunc("sqrt").ufunc("isfinite").logical_and(_matrix(t).gt(0.0)).df
+
+
+@query(f"select round(sum(x), 5) as sum, round(avg(x), 8) as mean, min(x) as min, max(x) as max, round(var_pop(x), 8) as var, round(stddev_pop(x), 8) as std from {_CELLS}")
+def nd_reduce_all(t):
+    m = _matrix(t)
+    digits = {"sum": 5, "mean": 8, "var": 8, "std": 8}
+    return t.spark.range(1).select(*[F.lit(round(v, digits[h]) if h in digits else v).alias(h) for h in ("sum", "mean", "min", "max", "var", "std") for v in [m.reduce(h)]])
+
+
+@query(f"select (j * {_ROWS} + r)::bigint as i, x as v from {_CELLS}")
+def nd_set(t):
+    m = _matrix(t)
+    return m.set((0, 0), 5.0).set((0, 0), m.item(0, 0)).T.df
+
+
+@query("select r_name, n_name from nation join region on n_regionkey = r_regionkey")
+def mi_from_arrays(t):
+    f = merge(t.nation, t.region, left_on="n_regionkey", right_on="r_regionkey").select("r_name", "n_name")
+    return labels.from_tuples(t.spark, f.rows(), ["r_name", "n_name"]).reset_index()
+
+
+@query("select r_name, r_regionkey from region union all select n_name, n_nationkey from nation")
+def concat_multi_index(t):
+    a = t.region.select("r_name", "r_regionkey")._put({"v": F.lit(1)}).set_index("r_name", "r_regionkey")
+    b = t.nation.select("n_name", "n_nationkey").rename({"n_name": "r_name", "n_nationkey": "r_regionkey"})._put({"v": F.lit(1)}).set_index("r_name", "r_regionkey")
+    return concat([a, b]).reset_index().select("r_name", "r_regionkey")
+
+
+@query("select min(ts) as first, max(ts) as last from events")
+def time_label_ends(t):
+    first, last = labels.ends(t.events.set_index("ts"))
+    return t.spark.range(1).select(F.lit(first).cast("timestamp_ntz").alias("first"), F.lit(last).cast("timestamp_ntz").alias("last"))
+
+
+@query("select median(value) as m, quantile_cont(value, 0.9) as q from events")
+def quantile_by_ranks(t):
+    from loomframe.plans.order import quantiles
+
+    m, q = quantiles(t.raw("events"), F.col("value").cast("double"), [0.5, 0.9], block=10_000)
+    return t.spark.range(1).select(F.lit(m).alias("m"), F.lit(q).alias("q"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parquet, text query, groups with several aggregates, sorted."""
     return QUERIES["gb_agglist"](spark, sf_dir).orderBy("l_returnflag", "l_linestatus")
