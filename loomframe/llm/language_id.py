@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +122,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     try:
         totals = {r["_lang"]: r["t"] for r in words.groupBy("_lang").agg(F.sum("_n").alias("t")).collect()}
         weight = F.create_map(*[F.lit(x) for lang in languages for x in (lang, 1.0 / max(1, totals.get(lang, 0)))])
-        top = lambda df, key, n: df.orderBy(F.desc("_w"), key, "_lang").limit(n).collect()
+        # as an Arrow table, as collect() would merge every task's n rows on the driver
+        top = lambda df, key, n: df.orderBy(F.desc("_w"), key, "_lang").limit(n).select(key, "_lang", "_n").toArrow()
         marked, part = F.concat(F.lit(" "), "_word", F.lit(" ")), F.col("_part")
         whole = F.length(marked) <= SLICE
         kept = top(words.filter(whole).withColumn("_w", F.col("_n") * weight[F.col("_lang")]), "_word", WORDS)
@@ -134,17 +136,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     finally:
         words.unpersist()
 
-    def table(found, key):
+    def table(found: pa.Table) -> dict[str, list[int]]:
         out: dict[str, list[int]] = defaultdict(lambda: [0] * len(languages))
-        for r in found:
-            out[r[key]][at[r["_lang"]]] = r["_n"]
+        for key, lang, n in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            out[key][at[lang]] = n
         return dict(out)
 
-    by_piece = table(heavy, "_gram")
+    by_piece = table(heavy)
     of = {n: [0] * len(languages) for n in range(1, LONGEST + 1)}
     for gram, counts in by_piece.items():
         of[len(gram)] = [a + b for a, b in zip(of[len(gram)], counts, strict=True)]
-    return Model(languages, [size[x] for x in languages], table(kept, "_word"), by_piece, [totals.get(x, 0) for x in languages], of)
+    return Model(languages, [size[x] for x in languages], table(kept), by_piece, [totals.get(x, 0) for x in languages], of)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
