@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,120 +16,159 @@ from loomframe.llm.common import durable, per_text
 
 #: Tokens of a sequence; documents of a shard (expected), which bounds what one task holds of them.
 WINDOW, SHARD = 1024, 2000
-#: BM25, the rarest terms of a seed that are looked up, and the neighbours taken from one look-up.
-K1, B, LOOKUPS, NEIGHBOURS = 1.2, 0.75, 12, 16
+#: BM25, and the neighbours that are sorted at a time.
+K1, B, SORTED = 1.2, 0.75, 16
+#: Documents of a shard up to which ids that occur in over one of COMMON of them are scored by matrix products, so many seeds at a time.
+DENSE, COMMON, SEEDS = 4096, 20, 256
 #: Id that ends each document.
 END = 0
-#: Words whose ids a task remembers; the others are encoded again.
-REMEMBERED = 250_000
+#: Characters that are encoded at once, if there is a space to cut at.
+LONG = 1 << 20
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
-_CUT = re.compile(r"\s (?:\s|\Z)")
+#: GPT-2's pattern, and the same without the look-ahead, which matters in runs of white space only and takes most of the time.
+_GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = _GPT2.replace(r"|\s+(?!\S)", "")
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # \s of the tokenizer; Python's has \x1c to \x1f too
+_TWO = re.compile(r"\s\s")
+_RUN = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}]{{2}})|(?<=[{_WHITE}])(?=[{_WHITE}][^{_WHITE}])")
+_WORD = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}][^{_WHITE}])")
 
 
-def byte_bpe(path: str, pattern: str):
+def byte_bpe(path: str, pattern: str) -> Callable[[str], bytes]:
     """text -> ids as little-endian unsigned 32-bit integers, for a byte-level BPE given as tiktoken ranks.
 
-    No pre-token of such a tokenizer holds a space but at its start or in a run of white space, so a text may be
-    encoded word by word, each with the space before it, unless a space stands between two white-space characters
-    or after one at the end. Words are remembered up to a bound.
+    Under GPT-2's pattern a run of white space is a pre-token without its last character, which goes with what follows,
+    and no pre-token holds white space after another character. So texts are cut before runs and before their last
+    character, and the pieces are encoded by the plain pattern. Other patterns take each text whole.
     """
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    known = pattern == _GPT2
+    encode = tiktoken.Encoding("own", pat_str=_PLAIN if known else pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     as_bytes = lambda text: np.array(encode(text), dtype="<u4").tobytes()
 
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            ids = as_bytes(" " + word)
-            if len(self) < REMEMBERED and len(word) < 64:
-                self[word] = ids
-            return ids
-
-    known = Words()
+    def chunks(text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > LONG and (cut := _WORD.search(text, at + LONG)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
 
     def ids_of(text: str) -> bytes:
-        if _CUT.search(text):
+        if not known or len(text) <= LONG and not _TWO.search(text):
             return as_bytes(text)
-        first, *rest = text.split(" ")
-        return as_bytes(first) + b"".join(map(known.__getitem__, rest))
+        return b"".join(as_bytes(x) for chunk in chunks(text) for x in _RUN.split(chunk))
 
     return ids_of
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, doc_tokens (with the closing id), crcs of its full windows, and the ids left over."""
+    """Per document: doc_id, doc_tokens (with the closing id), crcs of its full windows, the ids left over, and the bag of
+    the whole text: its distinct ids, each less the one before, then their counts."""
 
     def make():
         ids_of, end, step = byte_bpe(path, pattern), np.array([END], dtype="<u4").tobytes(), 4 * window
 
         def one(text: str) -> tuple:
-            ids = ids_of(text) + end
+            raw = ids_of(text)
+            terms, counts = np.unique(np.frombuffer(raw, dtype="<u4"), return_counts=True)
+            bag = np.concatenate([np.diff(terms, prepend=terms.dtype.type(0)), counts.astype("<u4")]).tobytes()
+            ids = raw + end
             full = len(ids) // step
-            return len(ids) // 4, [zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(full)], ids[full * step :]
+            return len(ids) // 4, [zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(full)], ids[full * step :], bag
 
         return one
 
-    return per_text(docs, make, {"doc_tokens": "long", "crcs": "array<long>", "tail": "binary"}, id_col, text_col)
+    return per_text(docs, make, {"doc_tokens": "long", "crcs": "array<long>", "tail": "binary", "bag": "binary"}, id_col, text_col)
+
+
+def bag_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a bag, ascending, and their counts."""
+    terms, counts = np.frombuffer(raw, dtype="<u4").reshape(2, -1)
+    return np.cumsum(terms, dtype=np.int64), counts
 
 
 def document_frequencies(tokens: DataFrame) -> dict[int, int]:
-    """In how many tails each id occurs: a table no longer than the vocabulary, counted over all documents."""
+    """In how many documents each id occurs: a table no longer than the vocabulary, counted over all whole texts."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, dtype=np.int64)
+        total = np.zeros(0, dtype=np.int64)
         for b in parts:
-            for tail in b.column(0).to_pylist():
-                ids = np.unique(np.frombuffer(tail, dtype="<u4"))
-                if len(ids) and ids[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(ids[-1]) + 1 - len(total), dtype=np.int64)])
-                total[ids] += 1
+            more = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *(bag_of(x)[0] for x in b.column(0).to_pylist())]), minlength=len(total))
+            more[: len(total)] += total
+            total = more
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["term", "n"])
 
-    found = tokens.select("tail").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = tokens.select("bag").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {r["term"]: r["n"] for r in found.collect()}
 
 
 class Shard:
-    """The tails of one shard, their BM25 postings, and what is still unused of each."""
+    """What is still unused of each tail of one shard, and the BM25 postings of the whole texts."""
 
-    def __init__(self, tails: list[bytes], idf: np.ndarray, mean: float):
-        self.tails = [np.frombuffer(t, dtype="<u4") for t in tails]
-        self.left = np.array([len(t) for t in self.tails], dtype=np.int64)
+    def __init__(self, tails: list[bytes], bags: list[bytes], idf: np.ndarray, mean: float):
+        self.left = np.array([len(t) // 4 for t in tails], dtype=np.int64)
         self.at = np.zeros(len(tails), dtype=np.int64)
-        self.idf = idf
-        each = [np.unique(t, return_counts=True) for t in self.tails]
-        terms = np.concatenate([t for t, _ in each]) if each else np.zeros(0, dtype="<u4")
-        tf = np.concatenate([c for _, c in each]).astype(float) if each else np.zeros(0)
-        docs = np.repeat(np.arange(len(each)), [len(t) for t, _ in each])
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.left[docs] / max(mean, 1.0)))
-        order = np.argsort(terms, kind="stable")
+        each = [bag_of(b) for b in bags]
+        self.own = [terms for terms, _ in each]
+        terms, tf = np.concatenate(self.own), np.concatenate([c for _, c in each]).astype(float)
+        size = np.array([c.sum() for _, c in each], dtype=float)
+        docs = np.repeat(np.arange(len(each)), [len(t) for t in self.own])
+        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[docs] / max(mean, 1.0)))
+        n, many = len(tails), np.bincount(terms, minlength=len(idf))
+        column = np.full(len(idf), -1)  # of the ids that many documents hold
+        often = np.flatnonzero(many * COMMON > n) if n <= DENSE else np.zeros(0, dtype=np.int64)
+        column[often] = np.arange(len(often))
+        dense = column[terms] >= 0
+        self.common = np.zeros((len(often), n), dtype=np.float32)
+        self.common[column[terms[dense]], docs[dense]] = weight[dense]
+        self.scored: dict[int, np.ndarray] = {}
+        self.own = [own[column[own] < 0] for own in self.own]
+        terms, docs, weight = terms[~dense], docs[~dense], weight[~dense]
+        order = np.argsort(terms.astype(np.uint16) if len(idf) <= 1 << 16 else terms, kind="stable")
         self.docs, self.weight = docs[order], weight[order]
-        self.terms, starts = np.unique(terms[order], return_index=True)
-        self.starts = np.append(starts, len(terms))
-        self.own = [t for t, _ in each]
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by BM25 score for the seed's rarest terms, best first."""
-        own = self.own[seed]
-        if len(own) > LOOKUPS:
-            own = own[np.argpartition(-self.idf[own], LOOKUPS)[:LOOKUPS]]
-        score = np.zeros(len(self.tails))
-        for i in np.searchsorted(self.terms, own):
-            a, b = self.starts[i], self.starts[i + 1]
-            score[self.docs[a:b]] += self.weight[a:b]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(idf)))])
+        self.unused = self.indexed = int(np.count_nonzero(self.left))
+        self.order = np.lexsort((np.arange(n), -self.left))
+        self.place = np.argsort(self.order)
+
+    def _by_common(self, seed: int) -> np.ndarray:
+        """Scores of all documents for the ids that many hold; those of the seeds that are next in size come along."""
+        if seed not in self.scored:
+            first = self.place[seed] // SEEDS * SEEDS
+            seeds = self.order[first : first + SEEDS]
+            seeds = seeds[(self.left[seeds] > 0) | (seeds == seed)]
+            self.scored.update(zip(seeds.tolist(), (self.common[:, seeds] > 0).astype(np.float32).T @ self.common, strict=True))
+        return self.scored.pop(seed)
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """All unused documents that share an id with the seed, by BM25 score over all its ids, best first."""
+        if 2 * self.unused < self.indexed:  # postings of used documents go
+            keep = self.left[self.docs] > 0
+            self.starts = np.concatenate([[0], np.cumsum(keep)])[self.starts]
+            self.docs, self.weight, self.indexed = self.docs[keep], self.weight[keep], self.unused
+        own, score = self.own[seed], np.zeros(len(self.left))
+        if len(own):
+            spans = [slice(a, z) for a, z in zip(self.starts[own].tolist(), self.starts[own + 1].tolist(), strict=True)]
+            score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.left))
+        if len(self.common):
+            score = score + self._by_common(seed)
         score[self.left == 0] = 0.0
         score[seed] = 0.0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if len(score) > NEIGHBOURS else np.arange(len(score))
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        rest = np.flatnonzero(score > 0)
+        while len(rest):
+            worse = -score[rest]
+            now = worse <= np.partition(worse, SORTED - 1)[SORTED - 1] if len(rest) > SORTED else np.ones(len(rest), dtype=bool)
+            yield from rest[now][np.argsort(worse[now], kind="stable")].tolist()
+            rest = rest[~now]
 
     def pack(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences as lists of (document, start in its tail, length). Every one but the last is full."""
-        order, turn, seed = np.lexsort((np.arange(len(self.left)), -self.left)), 0, -1
+        order, turn, seed = self.order, 0, -1
         while True:
             while turn < len(order) and not self.left[order[turn]]:
                 turn += 1
@@ -139,12 +178,10 @@ class Shard:
                 seed = int(order[turn])
             start, room, pieces = seed, window, []
             room -= self._take(seed, room, pieces)
-            queue = list(self.neighbours(start)) if room else []
+            queue = self.neighbours(start) if room else iter(())
             cut = -1
             while room:
-                if queue:
-                    n = int(queue.pop(0))
-                else:
+                if (n := next(queue, -1)) < 0:
                     while turn < len(order) and not self.left[order[turn]]:
                         turn += 1
                     if turn == len(order):
@@ -161,6 +198,7 @@ class Shard:
             pieces.append((doc, int(self.at[doc]), n))
             self.at[doc] += n
             self.left[doc] -= n
+            self.unused -= not self.left[doc]
         return n
 
 
@@ -168,13 +206,14 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's full windows are sequences of their own; what is left over is packed with its neighbours in its
-    shard, which are cut where a window ends, so all sequences are full but the last of each shard. Shards are drawn
+    shard, best first by all ids of the whole texts, as long as any is unused, then with the longest others. They are cut
+    where a window ends, so all sequences are full but the last of each shard. Shards are drawn
     by hash of the id and hold about `shard` documents each, whatever the input; the inverse document frequencies
     cover all documents. A null text counts as empty and is the closing id alone. Repeated rows are packed each; no
     rows give no pieces.
     """
     tokens = durable(tokenised(docs, path, pattern, id_col, text_col, window))
-    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("tail") / 4).alias("mean")).first()
+    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("doc_tokens") - 1).alias("mean")).first()
     df = document_frequencies(tokens)
     idf = np.zeros(max(df, default=0) + 1)
     for term, n in df.items():
@@ -195,15 +234,15 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def pieces(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         out, seq = [], held[0][0] << 32
-        for _, doc, n, crcs, _ in held:
+        for _, doc, n, crcs, _, _ in held:
             for i, crc in enumerate(crcs):
                 out.append((doc, i * window, window, crc, n, seq, 0))
                 seq += 1
-        index = Shard([r[4] for r in held], *shared.value)
+        index = Shard([r[4] for r in held], [r[5] for r in held], *shared.value)
         for sequence in index.pack(window):
             at = 0
             for k, start, n in sequence:
-                _, doc, total, crcs, tail = held[k]
+                _, doc, total, crcs, tail, _ = held[k]
                 out.append((doc, len(crcs) * window + start, n, zlib.crc32(tail[4 * start : 4 * (start + n)]), total, seq, at))
                 at += n
             seq += 1
@@ -217,4 +256,4 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     id_kind = to_arrow_type(id_type)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "doc_id")
-    return dealt.select("shard", "doc_id", "doc_tokens", "crcs", "tail").mapInArrow(rows, f"doc_id {id_type.simpleString()}, {PIECE}")
+    return dealt.select("shard", "doc_id", "doc_tokens", "crcs", "tail", "bag").mapInArrow(rows, f"doc_id {id_type.simpleString()}, {PIECE}")

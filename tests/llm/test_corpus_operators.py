@@ -281,6 +281,57 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_by_force(spark, monkeypatch):
+    """Every document of a window is the best unused one by BM25 over all ids of the whole texts; without one, the longest."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    words = [[f"{x}{y}" for y in ("ing", "er", "ful", "less", "ment", "ed")] for x in ("paint", "count", "harm", "point", "care", "state")]
+    texts = [" ".join([*(rng.choice(words[i % 6]) for _ in range(rng.randint(1, 14))), *(str(rng.randint(10, 99)) for _ in range(rng.randint(0, 16)))]) for i in range(150)]
+    texts += [" ".join(words[i] * 60) + " zebra" * 9 for i in range(6)] + [""]  # with full windows on what others are about
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    df = {x: sum(x in set(d) for d in ids) for d in ids for x in d}
+    idf = {x: np.log(1 + (len(ids) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+    mean, k1, b = sum(map(len, ids)) / len(ids), packing.K1, packing.B
+
+    def score(seed, d):
+        return sum(idf[x] * (tf := ids[d].count(x)) * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids[d]) / mean)) for x in set(ids[seed]) if x in ids[d])
+
+    for dense, window in ((4096, 256), (0, 256), (4096, 1024)):
+        monkeypatch.setattr(packing, "DENSE", dense)
+        got = packing.pack(frame(spark, list(enumerate(texts))), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, window=window).collect()
+        left = [(len(d) + 1) % window for d in ids]
+        assert any(r.length == window for r in got) == (window == 256)
+        sequences = {}
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            if r.length < window:
+                sequences.setdefault(r.sequence_id, []).append(r)
+        for i, rs in enumerate(sequences.values()):
+            seed = rs[0].doc_id
+            assert sum(r.length for r in rs) == (window if i < len(sequences) - 1 else sum(left))
+            left[seed] -= rs[0].length
+            for r in rs[1:]:
+                best = max(score(seed, d) for d, n in enumerate(left) if n and d != seed)
+                assert score(seed, r.doc_id) >= best * (1 - 1e-5) and (best or left[r.doc_id] == max(left))
+                left[r.doc_id] -= r.length
+        assert not any(left)
+
+
+def test_ids_of_white_space(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    odd = [*" \n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000\u200b", "  ", "a", "don't", "'s", "12", "é", "日本", "--", "word"]
+    texts = ["", *odd, *("".join(rng.choice(odd) for _ in range(rng.randint(1, 30))) for _ in range(2000))]
+    for most in (packing.LONG, 5):
+        monkeypatch.setattr(packing, "LONG", most)
+        ids_of = packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        for t in texts:
+            assert np.frombuffer(ids_of(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def tiny_vocabulary():
     pieces = {"▁": -3.0, "▁a": -2.0, "a": -3.5, "b": -3.0, "ab": -2.5, "▁ab": -4.9, "ba": -2.2, "bab": -4.0, "▁▁": -2.9, "é": -5.0}
     return sp.Pieces(tuple((300 + i, p, s) for i, (p, s) in enumerate(pieces.items())), tuple(range(3, 259)), 0)
