@@ -13,9 +13,9 @@ after which each document's ids are put together.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
-import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import batches, discard, durable, release, setting, text_of
 
-#: The mark that stands for a space, parts in the broadcast table at most, and words that a task remembers.
-SPACE, FREQUENT, REMEMBERED = "▁", 600_000, 300_000
+#: The mark that stands for a space, parts in the broadcast table at most, and words that a task counts before it sends their parts.
+SPACE, FREQUENT, REMEMBERED = "▁", 600_000, 600_000
 #: Parts that a task folds, and places of a part that are exploded as one row: a longer part is cut into overlapping rows.
 FOLDED, PLACES = 50_000, 64
-#: Stands in a document's ids for a part that is to be looked up.
-HOLE = 0xFFFFFFFF
+#: Stands among a document's codes for a part that is to be looked up.
+_HOLE = bytes(4)
 #: Fixed value: how far below the worst piece a character without a piece scores.
 PENALTY = 10.0
 
@@ -144,6 +144,30 @@ class Parts:
         self.pairs = vocabulary.pairs()
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.odd = re.compile(r"[\W\d_]")
+        self.at_once = self._pattern()
+
+    def _pattern(self) -> re.Pattern:
+        """Finds the parts of a whole marked text in one pass: neighbours stay together if both are letters or a piece
+        spans them."""
+        before: dict[str, set[str]] = {}  # by character: those that it stays together with, where one is no letter
+        for a, b in self.pairs:
+            if self.odd.match(a) or self.odd.match(b):
+                before.setdefault(b, set()).add(a)
+        alike: dict[tuple, list[str]] = {}
+        for b, those in before.items():
+            if b != SPACE:
+                alike.setdefault((bool(self.odd.match(b)), "".join(map(re.escape, sorted(those)))), []).append(re.escape(b))
+        of = lambda chars: f"[{''.join(sorted(chars))}]" if chars else "(?!)"
+        letter, none = r"[^\W\d_]", r"[\W\d_]"
+        more = "|".join(f"{of(chars)}(?<=[{those}].){'' if odd else letter + '*'}" for (odd, those), chars in sorted(alike.items()))
+        more = f"(?={of([c for chars in alike.values() for c in chars])})(?:{more})"
+        marks = f"{SPACE}(?<={SPACE}{SPACE})|" if SPACE in before.get(SPACE, ()) else ""
+        first = of([re.escape(b) for b, those in before.items() if SPACE in those and not self.odd.match(b)])
+        return re.compile(f"(?:{SPACE}{first}{letter}*|{letter}+|{none})(?:{marks}{more})*", re.DOTALL)
+
+    def of_text(self, text: str) -> list[str]:
+        """The parts of all the text's words."""
+        return self.at_once.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def of(self, word: str) -> list[str]:
         """The word's parts: cut beside characters that are no letters, where no piece spans the cut."""
@@ -174,49 +198,44 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("_text"))
 
 
-def distinct_words(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataFrame:
-    """The distinct words of all texts with their counts: word, n. Tasks count before they shuffle."""
+def distinct_parts(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataFrame:
+    """The distinct parts of all texts with their counts: word, n. Tasks count before they shuffle."""
 
     def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(vocabulary)
         plain: Counter[str] = Counter()
-        other: Counter[str] = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for words, mark in ((plain, SPACE), (other, "")):
-                yield pa.RecordBatch.from_arrays([pa.array([mark + w for w in words], pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-                words.clear()
+        total: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            alike: dict[int, list[str]] = {}
+            for word, n in plain.items():
+                alike.setdefault(n, []).append(word)
+            plain.clear()
+            for n, words in alike.items():  # words of the same count are parted together
+                for part, k in Counter(parts.of_text(" ".join(words))).items():
+                    total[part] += n * k
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            total.clear()
+            return out
 
         for b in batches_:
             for text in b.column(0).to_pylist():
                 if parts.plain(text):
                     plain.update(text.split(" "))
                 else:
-                    other.update(parts.words(text))
-                if len(plain) + len(other) > REMEMBERED:
-                    yield from flush()
-        yield from flush()
+                    total.update(parts.of_text(text))
+                if len(plain) + len(total) > REMEMBERED:
+                    yield flush()
+        yield flush()
 
     batches(docs.sparkSession)
     found = docs.select(text_of(docs, text_col).alias("_text")).mapInArrow(count, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def parts_of(words: DataFrame, vocabulary: Pieces, tasks: int) -> DataFrame:
-    """The distinct parts of words(word, n) with their counts and 128 bits of hash: k, k2, word, n, dealt over so many tasks by k."""
-
-    def split(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(vocabulary)
-        for b in batches_:
-            total: Counter[str] = Counter()
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for part in parts.of(word):
-                    total[part] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-
-    found = words.mapInArrow(split, "word string, n long")
-    keyed = found.select(F.xxhash64("word").alias("k"), "word", "n")
-    return keyed.repartition(tasks, "k").groupBy("k", "word").agg(F.sum("n").alias("n")).withColumn("k2", F.xxhash64("word", F.lit(1)))
+def dealt(distinct: DataFrame, tasks: int) -> DataFrame:
+    """distinct(word, n) with 128 bits of hash: k, k2, word, n, dealt over so many tasks by k."""
+    return distinct.select(F.xxhash64("word").alias("k"), "word", "n").repartition(tasks, "k").withColumn("k2", F.xxhash64("word", F.lit(1)))
 
 
 def _substrings(distinct: DataFrame, vocabulary: Pieces, least: int) -> DataFrame:
@@ -375,34 +394,6 @@ def decode(rows: DataFrame, vocabulary: Pieces, key: str = "word") -> DataFrame:
     return joined.select(key, F.replace(F.decode(raw, "utf-8"), F.lit(SPACE), F.lit(" ")).alias("text"))
 
 
-class _Rare:
-    """The parts that a task met and that aren't in the broadcast table, by number."""
-
-    def __init__(self):
-        self.names: list[str] = []
-        self.numbers: dict[str, int] = {}
-
-    def hole(self, part: str) -> bytes:
-        number = self.numbers.setdefault(part, len(self.names))
-        if number == len(self.names):
-            self.names.append(part)
-        return struct.pack("<II", HOLE, number)
-
-
-class _Words(dict):
-    """word -> its ids, 32 bits each; for a part that isn't in the table a hole, followed by the part's number."""
-
-    def __init__(self, mark: str, table: dict[str, bytes], parts: Parts, rare: _Rare):
-        self.mark, self.table, self.parts, self.rare = mark, table, parts, rare
-
-    def __missing__(self, word: str) -> bytes:
-        whole, table, hole = self.mark + word, self.table, self.rare.hole
-        if (found := table.get(whole)) is None:
-            found = b"".join([table.get(p) or hole(p) for p in self.parts.of(whole)])
-        self[word] = found
-        return found
-
-
 ROW = ["row", "doc_id", "codes", "holes", "rare", "seen"]
 
 
@@ -420,30 +411,24 @@ class Codes:
 
 def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces):
     """Rows (row, doc_id, text) as ROW: the codes of the ids with holes, for each hole the place of its part among the row's
-    rare parts, those parts, all compressed, and a hash of the text. A task remembers words up to a bound."""
+    rare parts, those parts, all compressed, and a hash of the text."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
         from zstandard import ZstdCompressor
 
         packed = ZstdCompressor(level=6, write_checksum=False).compress
-        parts, frequent = Parts(vocabulary), table()
-        rare = _Rare()
-        plain, other = _Words(SPACE, frequent, parts, rare), _Words("", frequent, parts, rare)
+        parts, known = Parts(vocabulary), table().get
         for b in batches_:
             cols: list[list] = [[] for _ in range(4)]
             for text in b.column(2).to_pylist():
-                if len(plain) + len(other) > REMEMBERED:
-                    rare = _Rare()
-                    plain, other = _Words(SPACE, frequent, parts, rare), _Words("", frequent, parts, rare)
-                each = map(plain.__getitem__, text.split(" ")) if parts.plain(text) else map(other.__getitem__, parts.words(text))
-                codes = np.frombuffer(b"".join(each), dtype="<u4")
-                at = np.flatnonzero(codes == HOLE)
-                numbers, own = np.unique(codes[at + 1], return_inverse=True)
-                names = [rare.names[i] for i in numbers.tolist()]
-                left = np.delete(codes, at + 1)
-                left[left == HOLE] = 0
-                for c, v in zip(cols, (packed(left.tobytes().decode("utf-32-le").encode()), packed(own.astype("<u4").tobytes()) if len(at) else b"", packed(_listed(names)) if names else b"", xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                names = parts.of_text(text)
+                each = list(map(known, names))
+                far = [p for p, x in zip(names, each, strict=True) if x is None]
+                names = dict(zip(dict.fromkeys(far), itertools.count()))  # noqa: B905
+                own = np.array([names[p] for p in far], dtype="<u4")
+                codes = np.frombuffer(b"".join([_HOLE if x is None else x for x in each]), dtype="<u4")
+                for c, v in zip(cols, (packed(codes.tobytes().decode("utf-32-le").encode()), packed(own.tobytes()) if far else b"", packed(_listed(list(names))) if far else b"", xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.binary()) for c in cols]], ROW)
 
@@ -486,6 +471,7 @@ def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], codes: Co
     from zstandard import ZstdDecompressor
 
     opened, mark = ZstdDecompressor().decompress, SPACE.encode()
+    spelled = pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.large_binary())
     offsets = lambda n: np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n, dtype=np.int64)])
     lengths = lambda lists: lists.value_lengths().fill_null(0).to_numpy()
     within = lambda n: np.arange(int(n.sum())) - np.repeat(offsets(n)[:-1], n)
@@ -510,8 +496,12 @@ def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], codes: Co
         ids[np.repeat(to[:-1][at], n[which]) + inner] = codes.ids[own[np.repeat(start[which], n[which]) + inner]]
         ends = to[offsets(sizes)]
         cols: list[list] = [[] for _ in range(2)]
+        every = spelled.take(pa.array(ids))
+        bounds = np.frombuffer(every.buffers()[1], dtype=np.int64, count=len(ids) + 1)[ends].tolist()
+        joined = every.buffers()[2]
+        joined = memoryview(joined) if joined else b""
         for i, seen in enumerate(b.column(4).to_pylist()):
-            told = b"".join(map(pieces.__getitem__, ids[ends[i] : ends[i + 1]].tolist())).replace(mark, b" ")[1:]
+            told = bytes(joined[bounds[i] : bounds[i + 1]]).replace(mark, b" ")[1:]
             cols[0].append(hashlib.sha256(told).hexdigest())
             cols[1].append(xxh3_128_digest(told) == seen)
         out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
@@ -528,10 +518,10 @@ def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col
     holds them, and then the documents' ids.
     """
     spark = docs.sparkSession
-    words = durable(distinct_words(docs, vocabulary, text_col))
-    tasks = max(1, -(-words.count() // FOLDED))
-    known = encode_words(parts_of(words, vocabulary, tasks), vocabulary)
-    discard(words)
+    parts = durable(distinct_parts(docs, vocabulary, text_col))
+    tasks = max(1, -(-parts.count() // FOLDED))
+    known = encode_words(dealt(parts, tasks), vocabulary)
+    discard(parts)
     head = known.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids", "n").toArrow()
     head = list(zip(*(c.to_pylist() for c in head.columns), strict=True))
     pieces = {i: p.encode() for i, p, _ in vocabulary.pieces} | {i: bytes([n]) for n, i in enumerate(vocabulary.bytes)}
@@ -546,12 +536,12 @@ def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col
     given = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "_text")
     kind = given.schema["doc_id"].dataType.simpleString()
     rows = given.mapInArrow(_looked_up(lambda: shared.value, vocabulary), f"row long, doc_id {kind}, codes binary, holes binary, rare binary, seen binary")
-    dealt = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(dealt, "row")
+    spread = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(spread, "row")
     far = rows.mapInArrow(_rare, "row long, at int, word string")  # takes all columns, so that both sides read one shuffle
     least = head[-1][2] if len(head) == frequent and head else None  # what is not in the broadcast table is no more frequent
     own = (known if least is None else known.filter(F.col("n") <= least)).select("word", "ids").mapInArrow(lambda parts: _as_codes(parts, codes), "word string, own string")
     far = far.join(own, "word")
-    fills = far.repartition(dealt, "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("_f")).select("row", F.transform("_f", lambda f: f["own"]).alias("fills"))
+    fills = far.repartition(spread, "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("_f")).select("row", F.transform("_f", lambda f: f["own"]).alias("fills"))
     out = rows.join(fills, "row", "left").select("doc_id", "codes", "holes", "rare", "seen", "fills")
     return out.mapInArrow(lambda parts: _joined(parts, pieces, codes), f"doc_id {kind}, ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")

@@ -337,6 +337,20 @@ def tiny_vocabulary():
     return sp.Pieces(tuple((300 + i, p, s) for i, (p, s) in enumerate(pieces.items())), tuple(range(3, 259)), 0)
 
 
+def test_parts_in_one_pass():
+    """Whole texts are parted by one pattern as their words are, one by one."""
+    rng = random.Random(11)
+    model = sp.Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
+    odd = sp.Pieces(tuple((i, p, -1.0) for i, p in enumerate(["'s", "a.", "▁▁", "▁1", "--", "^]", "]b", "é"])), (), 0)
+    for v in (model, odd, tiny_vocabulary(), sp.Pieces((), (), 0)):
+        parts = sp.Parts(v)
+        pairs = [*sorted(parts.pairs), "x", "ⅫǅŹ", "² ", " \n", "  "]
+        texts = ["".join(rng.choice("abst▁.,é1日-'_²Ⅻ \n=^]  ") for _ in range(rng.randint(0, 15))) for _ in range(5000)]
+        texts += ["".join(rng.choice(pairs) for _ in range(rng.randint(1, 6))) for _ in range(5000)]
+        for t in texts:
+            assert parts.of_text(t) == [p for w in parts.words(t) for p in parts.of(w)], t
+
+
 def best_by_force(word, v):
     score = {p: (s, i) for i, p, s in v.pieces}
     best = [(0.0, [])]
