@@ -16,7 +16,6 @@ import hashlib
 import itertools
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,12 +27,12 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import batches, discard, durable, release, setting, text_of
 
-#: The mark that stands for a space, parts in the broadcast table at most, and words that a task counts before it sends their parts.
+#: The mark that stands for a space, parts in the broadcast table (about), and distinct words that a task counts before it sends their parts.
 SPACE, FREQUENT, REMEMBERED = "▁", 600_000, 600_000
+#: Bytes of text whose words are told apart together, and distinct words that are parted together.
+GATHERED, PARTED = 4 << 20, 100_000
 #: Parts that a task folds, and places of a part that are exploded as one row: a longer part is cut into overlapping rows.
 FOLDED, PLACES = 50_000, 64
-#: Stands among a document's codes for a part that is to be looked up.
-_HOLE = bytes(4)
 #: Fixed value: how far below the worst piece a character without a piece scores.
 PENALTY = 10.0
 
@@ -192,6 +191,47 @@ class Parts:
         """Whether single spaces alone part the text's words."""
         return bool(text) and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " "
 
+    def of_words(self, words: pa.Array, plain: bool) -> tuple[list[str], np.ndarray]:
+        """The parts of words without their first mark, one word after the other, and how many each word has.
+
+        No part of plain words crosses from a word into the next one's mark, so they are parted together.
+        """
+        if not plain:
+            lists = [self.at_once.findall(SPACE + w) for w in words.to_pylist()]
+            return list(itertools.chain.from_iterable(lists)), np.fromiter(map(len, lists), np.int64, len(lists))
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), SPACE)[0].as_py()
+        flat = self.at_once.findall(SPACE + text)
+        ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
+        of_words = np.searchsorted(ends, np.cumsum(pc.utf8_length(words).to_numpy() + 1, dtype=np.int64)) + 1
+        return flat, np.diff(of_words, prepend=0)
+
+    def gathered(self, batches_: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, bool, np.ndarray, pa.Array]]:
+        """Batches of some GATHERED bytes in column `at`, with whether their texts are plain, how many words each text has,
+        and the words without their first mark. Rows of plain texts come apart from the others."""
+
+        def told(b: pa.RecordBatch):
+            text = b.column(at)
+            odd = pc.equal(pc.binary_length(text), 0)
+            for found in (pc.match_substring(text, "  "), pc.match_substring(text, SPACE), pc.starts_with(text, " "), pc.ends_with(text, " ")):
+                odd = pc.or_(odd, found)
+            others = b.filter(odd)
+            if others.num_rows:
+                b = b.filter(pc.invert(odd))
+            if b.num_rows:
+                words = pc.split_pattern(b.column(at), " ")
+                yield b, True, words.value_lengths().to_numpy().astype(np.int64), words.flatten().cast(pa.string())
+            if others.num_rows:
+                lists = list(map(self.words, others.column(at).to_pylist()))
+                yield others, False, np.fromiter(map(len, lists), np.int64, len(lists)), pa.array([w[1:] for x in lists for w in x], pa.string())
+
+        held: list[pa.RecordBatch] = []
+        for b in itertools.chain(batches_, [None]):  # None: the end
+            held += [] if b is None else [b]
+            if held and (b is None or sum(x.column(at).nbytes for x in held) >= GATHERED):
+                every, held = pa.concat_batches(held), []
+                yield from told(every)
+                pa.default_memory_pool().release_unused()
+
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     batches(docs.sparkSession)
@@ -201,32 +241,30 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def distinct_parts(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataFrame:
     """The distinct parts of all texts with their counts: word, n. Tasks count before they shuffle."""
 
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def flushed(parts: Parts, words: pa.Table, plain: bool) -> pa.Table:
+        found = []
+        for at in range(0, len(words), PARTED):
+            some = words.slice(at, PARTED).combine_chunks()
+            flat, n = parts.of_words(pa.concat_arrays(some["word"].chunks), plain)
+            found.append(summed([pa.table({"word": pa.array(flat, pa.string()), "n": np.repeat(some["n"].to_numpy(), n)})]))
+        return summed(found)
+
     def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(vocabulary)
-        plain: Counter[str] = Counter()
-        total: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            alike: dict[int, list[str]] = {}
-            for word, n in plain.items():
-                alike.setdefault(n, []).append(word)
-            plain.clear()
-            for n, words in alike.items():  # words of the same count are parted together
-                for part, k in Counter(parts.of_text(" ".join(words))).items():
-                    total[part] += n * k
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-            total.clear()
-            return out
-
-        for b in batches_:
-            for text in b.column(0).to_pylist():
-                if parts.plain(text):
-                    plain.update(text.split(" "))
-                else:
-                    total.update(parts.of_text(text))
-                if len(plain) + len(total) > REMEMBERED:
-                    yield flush()
-        yield flush()
+        held: dict[bool, list[pa.Table]] = {True: [], False: []}  # counted words of plain texts, and of others
+        for _, plain, _, words in parts.gathered(batches_, 0):
+            if len(words):
+                held[plain].append(pa.table(words.value_counts().flatten(), ["word", "n"]))
+            if sum(map(len, held[plain])) > 2 * REMEMBERED:
+                held[plain] = [summed(held[plain])]
+                if len(held[plain][0]) > REMEMBERED:
+                    yield from flushed(parts, held[plain].pop(), plain).to_batches()
+        last = [flushed(parts, summed(x), plain) for plain, x in held.items() if x]
+        if last:
+            yield from summed(last).to_batches()
 
     batches(docs.sparkSession)
     found = docs.select(text_of(docs, text_col).alias("_text")).mapInArrow(count, "word string, n long")
@@ -380,9 +418,8 @@ def _by_viterbi(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
 def encode_words(distinct: DataFrame, vocabulary: Pieces) -> DataFrame:
     """word, n and ids of distinct(k, k2, word, n), which is dealt out by k; evaluated here and written."""
     spark = distinct.sparkSession
-    found = (_merged if vocabulary.merges else _by_viterbi)(distinct, vocabulary)
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * FOLDED)), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20000"):
-        return durable(found)
+        return durable((_merged if vocabulary.merges else _by_viterbi)(distinct, vocabulary))  # no name: durable frees its shuffle
 
 
 def decode(rows: DataFrame, vocabulary: Pieces, key: str = "word") -> DataFrame:
@@ -409,27 +446,80 @@ class Codes:
         self.of[ids] = self.points
 
 
-def _looked_up(table: Callable[[], dict[str, bytes]], vocabulary: Pieces):
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each size n."""
+    return np.arange(int(sizes.sum())) - np.repeat(_offsets(sizes)[:-1], sizes)
+
+
+def _bytes(array: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of a large binary array that begins at its buffers' start."""
+    if not len(array):
+        return np.zeros(1, dtype=np.int64), memoryview(b"")
+    data = array.buffers()[2]
+    return np.frombuffer(array.buffers()[1], dtype=np.int64, count=len(array) + 1), memoryview(data if data else b"")
+
+
+def _binary(offsets: np.ndarray, data) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _frequent(parts: pa.Array, ids: pa.ListArray, codes: Codes) -> bytes:
+    """Parts, and the codes of their ids with a hole after the last one, to be broadcast: compressed, as each executor keeps
+    a copy on disk, and read as Arrow arrays, as a dictionary of Python objects takes several times their memory."""
+    points, sizes = codes.of[ids.flatten().to_numpy()].astype("<u4"), ids.value_lengths().to_numpy()
+    own = _binary(4 * _offsets(np.append(sizes, 1)), np.append(points, np.uint32(0)))
+    table, sink = pa.record_batch([pa.concat_arrays([parts, pa.nulls(1, pa.string())]), own], ["part", "codes"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _looked_up(table: Callable[[], bytes], vocabulary: Pieces):
     """Rows (row, doc_id, text) as ROW: the codes of the ids with holes, for each hole the place of its part among the row's
-    rare parts, those parts, all compressed, and a hash of the text."""
+    rare parts, those parts, all compressed, and a hash of the text. Each distinct word is looked up once a batch."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
         from zstandard import ZstdCompressor
 
         packed = ZstdCompressor(level=6, write_checksum=False).compress
-        parts, known = Parts(vocabulary), table().get
-        for b in batches_:
+        parts, (often, own_codes) = Parts(vocabulary), pa.ipc.open_stream(table()).read_next_batch().columns
+        for b, plain, n_words, words in parts.gathered(batches_, 2):
+            words = words.dictionary_encode()
+            which, docs = words.indices.to_numpy(), np.arange(b.num_rows + 1)
+            flat, n_parts = parts.of_words(words.dictionary, plain)
+            places = pc.index_in(pa.array(flat, pa.string()), often)
+            holes = places.is_null().to_numpy(zero_copy_only=False)
+            at, data = _bytes(own_codes.take(places.fill_null(len(often) - 1)))
+            at, data = _bytes(_binary(at[_offsets(n_parts)], data).take(words.indices))
+            ends = at[_offsets(n_words)].tolist()
+
+            rare = pa.array(list(itertools.compress(flat, holes.tolist())), pa.string()).dictionary_encode()
+            n_rare = np.add.reduceat(np.append(holes, False), _offsets(n_parts)[:-1], dtype=np.int64) if len(n_parts) else n_parts
+            names, first = rare.dictionary.to_pylist(), _offsets(n_rare)
+            with_rare = np.flatnonzero(n_rare[which])
+            count = n_rare[which[with_rare]]
+            doc = np.repeat(np.searchsorted(_offsets(n_words), with_rare, side="right") - 1, count)
+            far = rare.indices.to_numpy()[np.repeat(first[which[with_rare]], count) + _within(count)]
+            distinct, seen_at, place = np.unique(doc * max(1, len(names)) + far, return_index=True, return_inverse=True)
+            order = np.argsort(seen_at)  # rare parts as their texts first hold them
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            of_doc, of_hole = np.searchsorted(doc[seen_at[order]], docs), np.searchsorted(doc, docs).tolist()
+            place = (rank[place] - of_doc[doc]).astype("<u4")
+            listed, of_doc = (distinct[order] % max(1, len(names))).tolist(), of_doc.tolist()
+
             cols: list[list] = [[] for _ in range(4)]
-            for text in b.column(2).to_pylist():
-                names = parts.of_text(text)
-                each = list(map(known, names))
-                far = [p for p, x in zip(names, each, strict=True) if x is None]
-                names = dict(zip(dict.fromkeys(far), itertools.count()))  # noqa: B905
-                own = np.array([names[p] for p in far], dtype="<u4")
-                codes = np.frombuffer(b"".join([_HOLE if x is None else x for x in each]), dtype="<u4")
-                for c, v in zip(cols, (packed(codes.tobytes().decode("utf-32-le").encode()), packed(own.tobytes()) if far else b"", packed(_listed(list(names))) if far else b"", xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
-                    c.append(v)
+            for i, text in enumerate(b.column(2).cast(pa.large_binary()).to_pylist()):
+                far = [names[x] for x in listed[of_doc[i] : of_doc[i + 1]]]
+                cols[0].append(packed(str(data[ends[i] : ends[i + 1]], "utf-32-le").encode()))
+                cols[1].append(packed(place[of_hole[i] : of_hole[i + 1]].tobytes()) if far else b"")
+                cols[2].append(packed(_listed(far)) if far else b"")
+                cols[3].append(xxh3_128_digest(text))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.binary()) for c in cols]], ROW)
 
     return run
@@ -472,9 +562,7 @@ def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], codes: Co
 
     opened, mark = ZstdDecompressor().decompress, SPACE.encode()
     spelled = pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.large_binary())
-    offsets = lambda n: np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n, dtype=np.int64)])
     lengths = lambda lists: lists.value_lengths().fill_null(0).to_numpy()
-    within = lambda n: np.arange(int(n.sum())) - np.repeat(offsets(n)[:-1], n)
     for b in parts:
         raw = [opened(x).decode() for x in b.column(1).to_pylist()]
         held = [opened(x) if x else b"" for x in b.column(2).to_pylist()]
@@ -482,19 +570,19 @@ def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], codes: Co
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
         fills = b.column(5).flatten()
         n = pc.utf8_length(fills).to_numpy().astype(np.int64)
-        start, own = offsets(n), np.frombuffer("".join(fills.to_pylist()).encode("utf-32-le"), dtype="<u4")
+        start, own = _offsets(n), np.frombuffer("".join(fills.to_pylist()).encode("utf-32-le"), dtype="<u4")
         at = np.flatnonzero(flat == 0)
         n_holes = np.array([len(x) for x in held], dtype=np.int64) // 4
-        which = np.frombuffer(b"".join(held), dtype="<u4") + np.repeat(offsets(lengths(b.column(5)))[:-1], n_holes)
+        which = np.frombuffer(b"".join(held), dtype="<u4") + np.repeat(_offsets(lengths(b.column(5)))[:-1], n_holes)
         count = np.ones(len(flat), dtype=np.int64)
         count[at] = n[which]
-        to = offsets(count)
+        to = _offsets(count)
         ids = np.empty(int(to[-1]), dtype=np.int32)
         plain = flat != 0
         ids[to[:-1][plain]] = codes.ids[flat[plain]]
-        inner = within(n[which])
+        inner = _within(n[which])
         ids[np.repeat(to[:-1][at], n[which]) + inner] = codes.ids[own[np.repeat(start[which], n[which]) + inner]]
-        ends = to[offsets(sizes)]
+        ends = to[_offsets(sizes)]
         cols: list[list] = [[] for _ in range(2)]
         every = spelled.take(pa.array(ids))
         bounds = np.frombuffer(every.buffers()[1], dtype=np.int64, count=len(ids) + 1)[ends].tolist()
@@ -508,13 +596,32 @@ def _joined(parts: Iterator[pa.RecordBatch], pieces: dict[int, bytes], codes: Co
         yield pa.RecordBatch.from_arrays([b.column(0), out, pa.array(np.diff(ends)), *map(pa.array, cols, (pa.string(), pa.bool_()))], ["doc_id", "ids", "n_pieces", "decoded_sha256", "round_trip"])
 
 
+#: Parts of one count are told apart by hash into so many shares.
+SHARES = 1 << 20
+
+
+def _least(known: DataFrame, frequent: int) -> tuple[int, int]:
+    """Some `frequent` parts are more frequent than the first number, or as frequent and of the first shares of that many.
+
+    Found among the distinct counts, so that no part is sorted or shuffled for it.
+    """
+    counts = known.groupBy("n").count().toArrow()
+    n, parts = (counts[c].to_numpy() for c in ("n", "count"))
+    order = np.argsort(-n)
+    upto = np.cumsum(parts[order])
+    at = int(np.searchsorted(upto, frequent, side="right"))
+    if at == len(n):
+        return 0, 0
+    return int(n[order[at]]), int((frequent - upto[at] + parts[order[at]]) * SHARES // parts[order[at]])
+
+
 def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """Per row of docs: doc_id, ids (32-bit integers), n_pieces, decoded_sha256 (of the text that the ids decode to) and
     round_trip (that text is the row's own).
 
     Null and empty texts have no ids. Repeated rows are encoded each, ids of any type pass through, nulls included;
     other columns are ignored. A text that holds the mark for spaces decodes to spaces there. Parts are encoded once over
-    all documents; only parts that are not among the `frequent` most frequent ones are shuffled, once a document that
+    all documents; only parts that are not among some `frequent` most frequent ones are shuffled, once a document that
     holds them, and then the documents' ids.
     """
     spark = docs.sparkSession
@@ -522,16 +629,18 @@ def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col
     tasks = max(1, -(-parts.count() // FOLDED))
     known = encode_words(dealt(parts, tasks), vocabulary)
     discard(parts)
-    head = known.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids", "n").toArrow()
-    head = list(zip(*(c.to_pylist() for c in head.columns), strict=True))
+    least, some = _least(known, frequent)
+    chosen = known.filter((F.col("n") > least) | (F.col("n") == least) & (F.pmod(F.xxhash64("word", F.lit(2)), F.lit(SHARES)) < some))
+    head = chosen.select("word", "ids", "n").toArrow().combine_chunks()
+    often, ids, counts = head["word"], head["ids"], head["n"].to_numpy()
+    often, ids = (pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], kind) for x, kind in ((often, pa.string()), (ids, pa.list_(pa.int32()))))
+    del head
     pieces = {i: p.encode() for i, p, _ in vocabulary.pieces} | {i: bytes([n]) for n, i in enumerate(vocabulary.bytes)}
     pieces.setdefault(vocabulary.unknown, " ⁇ ".encode())
-    often: Counter[int] = Counter()
-    for _, own, n in head:
-        for i in own:
-            often[i] += n
-    codes = Codes(sorted(pieces, key=lambda i: (-often[i], i)))
-    shared = spark.sparkContext.broadcast({w: codes.of[own].astype("<u4").tobytes() for w, own, _ in head})
+    used = np.zeros(max(pieces) + 1, dtype=np.int64)
+    np.add.at(used, ids.flatten().to_numpy(), np.repeat(counts, ids.value_lengths().to_numpy()))
+    codes = Codes(sorted(pieces, key=lambda i: (-used[i], i)))
+    shared = spark.sparkContext.broadcast(_frequent(often, ids, codes))
     release(spark)
     given = _texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "_text")
     kind = given.schema["doc_id"].dataType.simpleString()
@@ -539,8 +648,7 @@ def encode(docs: DataFrame, vocabulary: Pieces, id_col: str = "doc_id", text_col
     spread = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(spread, "row")
     far = rows.mapInArrow(_rare, "row long, at int, word string")  # takes all columns, so that both sides read one shuffle
-    least = head[-1][2] if len(head) == frequent and head else None  # what is not in the broadcast table is no more frequent
-    own = (known if least is None else known.filter(F.col("n") <= least)).select("word", "ids").mapInArrow(lambda parts: _as_codes(parts, codes), "word string, own string")
+    own = known.filter(F.col("n") <= least).select("word", "ids").mapInArrow(lambda parts: _as_codes(parts, codes), "word string, own string")
     far = far.join(own, "word")
     fills = far.repartition(spread, "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("_f")).select("row", F.transform("_f", lambda f: f["own"]).alias("fills"))
     out = rows.join(fills, "row", "left").select("doc_id", "codes", "holes", "rare", "seen", "fills")

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("loomframe.llm")
@@ -429,6 +431,55 @@ def test_pieces_of_the_model_round_trip(spark):
     assert v.merges and not sp.encode(spark.createDataFrame([(1, "a ▁b")], "doc_id long, text string"), v).first().round_trip
 
 
+def test_texts_are_parted_by_distinct_words(spark, monkeypatch):
+    """Counting parted each text as a whole where spaces follow spaces, which took CPU time for every occurrence of a word."""
+    v = sp.Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
+    of, steps, parted = sp.Parts._pattern, [], []
+
+    class Pattern:
+        def __init__(self, parts):
+            self.own = of(parts)
+
+        def findall(self, text):
+            parted.append(len(text))
+            return self.own.findall(text)
+
+    docs = spark.createDataFrame([("x",)], "text string")
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, f, *_: steps.append(f) or self.selectExpr("_text as word", "1L as n"))
+        m.setattr(sp.Parts, "_pattern", lambda self: Pattern(self))
+        sp.distinct_parts(docs, v)
+        texts = ["one  two three-four " * 50, "one two three-four" + " one" * 50] * 40
+        found = list(steps[0](iter([pa.RecordBatch.from_arrays([pa.array(texts[i : i + 8])], ["_text"]) for i in range(0, 80, 8)])))
+    assert sum(parted) < sum(map(len, texts)) / 10
+    parts = sp.Parts(v)
+    assert Counter({w: n for b in found for w, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}) == Counter(p for t in texts for p in parts.of_text(t))
+
+
+def test_most_frequent_parts_by_their_counts(spark):
+    known = spark.createDataFrame([(f"w{i}", 9 if i < 30 else 4 if i < 2030 else 1) for i in range(5000)], "word string, n long")
+    for frequent, least in ((0, 9), (10, 9), (30, 4), (1030, 4), (2030, 1), (5000, 0), (9000, 0)):
+        n, some = sp._least(known, frequent)
+        assert n == least
+        tied = sum(r.n == n for r in known.collect())
+        assert abs(sum(r.n > n for r in known.collect()) + tied * some / sp.SHARES - min(frequent, 5000)) < 1
+
+
+def test_gathered_words(spark):
+    v = sp.Pieces(tuple((i, p, -1.0) for i, p in enumerate(["▁", "▁▁", "ab", "▁ab", "a\n"])), (), 99, merges=True)
+    parts = sp.Parts(v)
+    texts = ["ab ba ab", "", " ab", "ab  ab   ", "▁", " ", "   ", "a▁b a\nab", "é ab", "ab"]
+    given = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 2)), pa.array(texts[i : i + 2])], ["i", "t"]) for i in range(0, len(texts), 2)]
+    got = {}
+    for b, plain, sizes, words in parts.gathered(iter(given), 1):
+        flat, n = parts.of_words(words, plain)
+        ends, of_text = np.cumsum(n).tolist(), np.cumsum(sizes).tolist()
+        for i, a, z in zip(b.column(0).to_pylist(), [0, *of_text], of_text, strict=False):
+            got[i] = flat[[0, *ends][a] : [0, *ends][z]]
+    assert got == {i: parts.of_text(t) for i, t in enumerate(texts)}
+    assert not list(parts.gathered(iter([]), 0))
+
+
 def test_reply_trees(spark):
     rows = [  # tree, node, parent, score, role, text
         (1, 1, None, 0.1, "user", "q"), (1, 2, 1, 0.9, "assistant", "good [/INST] </s>"), (1, 3, 1, 0.2, "assistant", "bad"), (1, 4, 3, 0.3, "user", None),
