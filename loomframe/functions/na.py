@@ -21,9 +21,10 @@ def quiet(c: Column) -> Column:
 
 
 def fdiv(x: Column, y: Column) -> Column:
-    """IEEE division: x/0 is an infinity or NaN."""
+    """IEEE division: x/0 is NaN or an infinity, whose sign is that of both (-0.0 is negative)."""
     x, y = x.cast("double"), y.cast("double")
-    zero = F.when(F.isnan(x) | (x == 0), F.lit(NAN)).when(x > 0, F.lit(INF)).when(x < 0, F.lit(-INF))
+    above = ~y.cast("string").startswith("-")  # tells 0.0 from -0.0, which are equal
+    zero = F.when(F.isnan(x) | (x == 0), F.lit(NAN)).when((x > 0) == above, F.lit(INF)).otherwise(F.lit(-INF))
     return F.when(x.isNull() | y.isNull(), F.lit(None).cast("double")).when(y == 0, zero).otherwise(F.try_divide(x, y))
 
 

@@ -506,3 +506,10 @@ def test_level_codes_and_equality_stay_distributed(spark):
     assert labels.codes(f).rows() == [(1, 0), (-1, 1), (0, 0)]
     g = Frame.from_rows(spark, [("b", 1), (None, 2)], ["k", "m"]).set_index("k", "m")
     assert labels.equal(f, f) and not labels.equal(f, g) and not labels.equal(g, f)
+
+
+def test_division_by_negative_zero_has_its_sign(spark):
+    f = Frame.from_rows(spark, [(1.0, 0.0), (1.0, -0.0), (-2.0, -0.0), (-2.0, 0.0), (None, -0.0), (1.0, 4.0)], "a double, b double")
+    inf = float("inf")
+    assert f.assign_expr("r", col("a") / col("b")).select("r").rows() == [(inf,), (-inf,), (inf,), (-inf,), (None,), (0.25,)]
+    assert f.col("a").div(f.col("b")).values() == [inf, -inf, inf, -inf, None, 0.25]
