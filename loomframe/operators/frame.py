@@ -53,6 +53,8 @@ class Frame:
             name = fresh(df)
             df, order = df.withColumn(name, F.monotonically_increasing_id()), (Key(name),)
         self.df, self.order, self.index = df, tuple(order), tuple(index)
+        #: DataFrames of the same rows to which this one has only added columns.
+        self._older: tuple[DataFrame, ...] = ()
 
     # --- making and leaving frames -------------------------------------------------------------------------
 
@@ -213,12 +215,13 @@ class Frame:
         return kept._with(kept.df.withColumnsRenamed({k: v for k, v in mapping.items() if k in self.columns}))
 
     def assign(self, name: str, values: Any) -> Frame:
-        """A column from a series of this frame, a series of another frame of equal length (by position), or a scalar."""
+        """A column from a series of this frame, or of one that it extends, a series of another frame of equal length (by
+        position), or a scalar."""
         from loomframe.operators.series import Series
 
         if not isinstance(values, Series):
             return self._put({name: F.lit(values)})
-        if values.frame.df is self.df:
+        if self._extends(values.frame):
             return self._put({name: values.column})
         left, right = self.positioned(), values.frame.positioned()
         if len(self) != len(values.frame):
@@ -249,7 +252,14 @@ class Frame:
         if clash:
             copies = {k.name: fresh_many(self.df, i) for i, k in enumerate(clash)}
             base = self._with(self.df.withColumns({new: q(old) for old, new in copies.items()}), [Key(copies.get(k.name, k.name), k.ascending) for k in self.order])
-        return base._with(base.df.withColumns(columns))
+        out = base._with(base.df.withColumns(columns))
+        if not {c.lower() for c in columns} & {c.lower() for c in self.df.columns}:
+            out._older = (*self._older, self.df)
+        return out
+
+    def _extends(self, other: Frame) -> bool:
+        """Whether expressions over the other frame mean the same here: it has the same rows, and no column of it has changed."""
+        return any(df is other.df for df in (self.df, *self._older))
 
     def select_dtypes(self, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Frame:
         """Columns by type; "number" stands for numeric and bool."""
@@ -309,7 +319,7 @@ class Frame:
 
     def filter(self, mask: Series) -> Frame:
         """Rows whose place in a mask of this frame's length is true."""
-        if mask.frame.df is self.df:
+        if self._extends(mask.frame):
             return self._with(self.df.filter(F.coalesce(mask.column, F.lit(False))))
         return self.assign("__mask", mask)._filter_raw("__mask")
 

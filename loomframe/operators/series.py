@@ -202,8 +202,10 @@ class Series:
             kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
             t = kinds.get(type(other), T.TimestampNTZType())
             return self, F.lit(other).cast(t), t
-        if other.frame.df is self.frame.df:
+        if self.frame._extends(other.frame):
             return self, other.column, other.field.dataType
+        if other.frame._extends(self.frame):
+            return Series(other.frame, self.column, self.name, self.field), other.column, other.field.dataType
         if len(self) != len(other):
             raise LengthMismatch("series differ in length")
         both = self.to_frame(self.name).assign("__other", other)

@@ -513,3 +513,17 @@ def test_division_by_negative_zero_has_its_sign(spark):
     inf = float("inf")
     assert f.assign_expr("r", col("a") / col("b")).select("r").rows() == [(inf,), (-inf,), (inf,), (-inf,), (None,), (0.25,)]
     assert f.col("a").div(f.col("b")).values() == [inf, -inf, inf, -inf, None, 0.25]
+
+
+def test_series_of_a_frame_before_columns_were_added_need_no_join(spark):
+    f = Frame.of(spark.range(5).select("id", (F.col("id") * 2).alias("a")), "id")
+    g = f.assign("s", f.col("a").add(1)).assign("d", f.col("a").mul(f.col("id")))
+    g = g.assign("e", g.col("s").sub(f.col("a"))).assign("t", f.col("a").add(g.col("s")))
+    assert "Join" not in g.df._jdf.queryExecution().optimizedPlan().toString()
+    assert g.select("s", "d", "e", "t").rows() == [(2 * i + 1, 2 * i * i, 1, 4 * i + 1) for i in range(5)]
+    assert g.filter(f.col("a").gt(4)).select("a").rows() == [(6,), (8,)]
+    # a column that changed since is matched by position, as before
+    h = f.assign("a", f.col("a").mul(10)).assign("old", f.col("a"))
+    assert h.select("a", "old").rows() == [(20 * i, 2 * i) for i in range(5)]
+    h = f.assign("A", f.col("a").mul(10)).assign("old", f.col("a"))
+    assert h.select("old").rows() == [(2 * i,) for i in range(5)]
