@@ -78,9 +78,10 @@ class NDArray:
     @classmethod
     def from_vectors(cls, df: DataFrame, order_by: str, name: str, width: int) -> NDArray:
         """A matrix of the vectors of a column, a row each, in the order of a unique key."""
-        from loomframe.plans.order import POS, Key, with_position
+        from loomframe.plans.order import BLOCK, POS, Key, with_position
 
-        rows = with_position(df.select(order_by, name), (Key(order_by),))
+        # blocks of so many cells, not vectors: a single block, and the joins of its cells, are one task
+        rows = with_position(df.select(order_by, name), (Key(order_by),), block=max(1, BLOCK // max(1, width)))
         cells = rows.select(POS, F.posexplode(F.col(name).cast("array<double>")).alias("j", "v"))
         return cls(cells.select((F.col(POS) * width + F.col("j")).alias("i"), "v"), (df.count(), width))
 

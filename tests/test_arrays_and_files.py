@@ -187,3 +187,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from days").first()[0] == events.count()
+
+
+def test_vectors_are_cut_by_cells_not_by_vectors(spark, monkeypatch):
+    from loomframe.plans import order
+
+    monkeypatch.setattr(order, "BLOCK", 40)
+    df = spark.createDataFrame([(i, [float(i), float(i * i % 7), 0.5, -float(i)]) for i in range(39)], "id long, e array<float>")
+    a = NDArray.from_vectors(df, "id", "e", 4)
+    assert "SinglePartition" not in a.gt(0.0).logical_and(a.lt(3.0)).df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    want = np.array([r.e for r in df.orderBy("id").collect()])
+    same(a, want)
+    same(a.sub(a.reduce("mean", axis=0)), want - want.mean(axis=0))
+    same(nd.where(a.gt(0.0), a, 0.5), np.where(want > 0, want, 0.5))
+    same(a.T.matmul(a), want.T @ want)
