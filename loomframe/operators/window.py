@@ -167,11 +167,12 @@ def diff(f: Frame, names: list[str], periods: int = 1) -> Frame:
 
 
 def pct_change(f: Frame, names: list[str], periods: int = 1) -> Frame:
+    """x / earlier - 1 as IEEE says: a change from 0 is an infinity, from 0 to 0 NaN; missing only where a value is."""
     if not periods:
         raise InvalidOperation("change over no rows")
     f = f._keep(f.columns)
     kinds = {n: f.schema[n].dataType for n in names}
-    return _shifted(f, names, periods, lambda x, y, n: na.quiet(na.fdiv(na.as_double(x, kinds[n]), na.as_double(y, kinds[n])) - 1.0))
+    return _shifted(f, names, periods, lambda x, y, n: na.fdiv(na.as_double(x, kinds[n]), na.as_double(y, kinds[n])) - 1.0)
 
 
 def cumulative(f: Frame, names: list[str], how: str) -> Frame:

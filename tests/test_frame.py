@@ -515,6 +515,11 @@ def test_division_by_negative_zero_has_its_sign(spark):
     assert f.col("a").div(f.col("b")).values() == [inf, -inf, inf, -inf, None, 0.25]
 
 
+def test_change_from_zero_to_zero_is_nan_and_not_missing(spark):
+    s = Series.of(spark, [0.0, 0.0, 2.0, 3.0, None, 0.0, 1.0], dtype="float64")
+    assert list(map(str, s.pct_change().values())) == ["None", "nan", "inf", "0.5", "None", "None", "inf"]
+
+
 def test_series_of_a_frame_before_columns_were_added_need_no_join(spark):
     f = Frame.of(spark.range(5).select("id", (F.col("id") * 2).alias("a")), "id")
     g = f.assign("s", f.col("a").add(1)).assign("d", f.col("a").mul(f.col("id")))
