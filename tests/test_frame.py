@@ -16,6 +16,7 @@ from loomframe.expr.parser import parse
 from loomframe.functions import categorical, dtypes
 from loomframe.operators import frame
 from loomframe.operators import index as labels
+from loomframe.operators import merge as joins
 from loomframe.operators.concat import concat
 from loomframe.operators.frame import Frame, Key
 from loomframe.operators.groupby import group_count, group_size
@@ -520,6 +521,30 @@ def test_change_from_zero_to_zero_is_nan_and_not_missing(spark):
     assert list(map(str, s.pct_change().values())) == ["None", "nan", "inf", "0.5", "None", "None", "inf"]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right"])
+def test_many_pairs_of_few_keys_are_made_by_many_tasks(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "PAIRS", 500)
+    spark.createDataFrame([(i, i % 3 if i % 10 else None, float(i)) for i in range(300)], "i long, k int, v double").createOrReplaceTempView("dealt_a")
+    spark.createDataFrame([(i, i % 4, float(i)) for i in range(120)], "i long, k int, v double").createOrReplaceTempView("dealt_b")
+    a, b = (Frame.of(spark.table(f"dealt_{t}"), "i").select("k", "v") for t in "ab")
+    got = merge(a, b, on="k", how=how)
+    p, r = pd.DataFrame(a.records(), dtype=object), pd.DataFrame(b.records(), dtype=object)
+    want = p.dropna(subset=["k"]).merge(r, on="k", how=how)
+    if how == "left":
+        want = pd.concat([want, p[p["k"].isna()].rename(columns={"v": "v_x"})])
+    clean = lambda rows: sorted(repr(tuple(None if pd.isna(v) else float(v) for v in x)) for x in rows)
+    assert clean(got.rows()) == clean(want[["k", "v_x", "v_y"]].to_numpy())
+    # in a shuffle by key one task makes all pairs of a key
+    sizes = [r.n for r in got.df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < sum(sizes) / 4
+
+
+def test_joins_of_keys_that_do_not_repeat_are_left_alone(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 10)
+    f = Frame.of(spark.range(300).select("id", F.col("id").alias("k")), "id").select("k")
+    assert "Repartition" not in merge(f, f, on="k").df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_series_of_a_frame_before_columns_were_added_need_no_join(spark):
     f = Frame.of(spark.range(5).select("id", (F.col("id") * 2).alias("a")), "id")
     g = f.assign("s", f.col("a").add(1)).assign("d", f.col("a").mul(f.col("id")))
