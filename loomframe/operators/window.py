@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.errors import InvalidOperation, TypeMismatch
 from loomframe.functions import na
 from loomframe.operators.frame import Frame, q
-from loomframe.plans.order import POS, in_frames, running
+from loomframe.plans.order import BLK, BLOCK, POS, Key, in_frames, running, with_position
 
+#: Blocks of a running median at most (beyond, blocks grow): the driver holds a count for each two.
+MEDIAN_BLOCKS = 1000
 AGGREGATES = ("sum", "mean", "min", "max", "std", "var", "count", "median")
 
 
@@ -106,10 +113,8 @@ class Expanding(Windowed):
         kinds = {n: f.schema[n].dataType for n in names}
         x = {n: na.as_double(q(n), kinds[n]) for n in names}
         if how == "median":
-            # an exact running median needs all values before it; they are gathered in one window
-            w = Window.orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-            done = {n: F.when(F.count(x[n]).over(w) >= self.min_periods, _over("median", x[n], w)) for n in names}
-            return f._with(f.positioned().withColumns(done).drop(POS))
+            df = running_medians(f.positioned(), {f"__w{n}": na.quiet(x[n]) for n in names}, self.min_periods)
+            return f._with(df.withColumns({n: q(f"__w{n}") for n in names}).drop(POS, *[f"__w{n}" for n in names]))
         wanted: dict[str, tuple[Column, str]] = {}
         for i, n in enumerate(names):
             wanted[f"__n{i}"] = (x[n], "count")
@@ -142,6 +147,80 @@ class Expanding(Windowed):
         return f._with(df.withColumns(out).drop(POS, *wanted))
 
 
+def running_medians(df: DataFrame, columns: dict[str, Column], least: int = 1, block: int = BLOCK) -> DataFrame:
+    """df, which has positions, with the exact median of each column's values up to each row: missing until `least` are there.
+
+    Runs in blocks of consecutive positions. Over a block of m rows the median moves by less than m ranks among the values
+    before the block, so only the values within m ranks of it are copied there, in whole ranges of at most m values each: a
+    task holds some five times m values, and what is copied grows as the input (but for the ranges looked through).
+    """
+    n, names = df.count(), list(columns)
+    size = max(block, -(-n // MEDIAN_BLOCKS))
+    numbered = lambda p: F.floor(F.col(p) / size).cast("long")
+    rows = df.withColumns({BLK: numbered(POS), "__c": F.lit(None).cast("int"), **{f"__x{i}": columns[c] for i, c in enumerate(names)}})
+    beside: list[dict[int, tuple[int, int]]] = [{} for _ in names]
+    for i, c in enumerate(names) if n > size else ():
+        there = df.select(F.col(POS).alias("__p"), columns[c].alias("__x")).filter("__x is not null")
+        ranked = with_position(there, (Key("__x"), Key("__p")), "__r", block).select(numbered("__p").alias("__b"), numbered("__r").alias("__v"), "__x")
+        counts = ranked.groupBy("__b", "__v").agg(F.count(F.lit(1))).collect()
+        wanted, beside[i] = _ranges_near(counts, -(-n // size), size)
+        if wanted:
+            table = F.broadcast(df.sparkSession.createDataFrame(wanted, f"{BLK} long, __v long"))
+            copies = ranked.join(table, "__v").filter(F.col("__b") < F.col(BLK)).select(BLK, F.lit(i).alias("__c"), F.col("__x").alias(f"__x{i}"))
+            rows = rows.unionByName(copies, allowMissingColumns=True)
+    kept = df.columns
+
+    def fold(table: pa.Table) -> pa.Table:
+        at, own = table[BLK][0].as_py(), table.filter(pc.is_null(table["__c"])).sort_by(POS)
+        out = own.select(kept)
+        for i, c in enumerate(names):
+            earlier = np.sort(table[f"__x{i}"].filter(pc.equal(table["__c"], i)).to_numpy()).tolist()
+            made = _medians(earlier, *beside[i].get(at, (0, 0)), own[f"__x{i}"].to_pylist(), least)
+            out = out.append_column(c, pa.array(made, pa.float64()))
+        return out
+
+    return rows.groupBy(BLK).applyInArrow(fold, T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]]))
+
+
+def _ranges_near(counts: Iterable[Sequence[int]], blocks: int, size: int) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
+    """From (block, range of values, count): the ranges that each block needs of the blocks before it, and how many of their
+    values lie below and above these ranges."""
+    counts = [tuple(r) for r in counts]
+    table = np.zeros((blocks, 1 + max((v for _, v, _ in counts), default=0)), dtype=np.int64)
+    for b, v, k in counts:
+        table[b, v] = k
+    wanted, beside = [], {}
+    for b, before in enumerate(np.cumsum(table, axis=0)[:-1], start=1):
+        upto = np.cumsum(before)
+        middle = upto[-1] // 2
+        near = np.flatnonzero((before > 0) & (upto > middle - size - 2) & (upto - before < middle + size + 2))
+        if len(near):
+            wanted += [(b, int(v)) for v in near]
+            beside[b] = int(upto[near[0]] - before[near[0]]), int(upto[-1] - upto[near[-1]])
+    return wanted, beside
+
+
+def _medians(earlier: list[float], below: int, above: int, values: Iterable[float | None], least: int) -> list[float | None]:
+    """Medians after each value, by two heaps; before them come the sorted `earlier` ones, and others below and above those."""
+    n = below + len(earlier) + above
+    cut = max(0, (n + 1) // 2 - below)
+    low, high = [-v for v in reversed(earlier[:cut])], earlier[cut:]
+    out: list[float | None] = []
+    for v in values:
+        if v is not None:
+            n += 1
+            if low and v < -low[0]:
+                heapq.heappush(low, -v)
+            else:
+                heapq.heappush(high, v)
+            while below + len(low) < (n + 1) // 2:
+                heapq.heappush(low, -heapq.heappop(high))
+            while below + len(low) > (n + 1) // 2:
+                heapq.heappush(high, -heapq.heappop(low))
+        out.append(None if not n or n < least else -low[0] if n % 2 else (high[0] - low[0]) / 2)
+    return out
+
+
 def _shifted(f: Frame, names: list[str], periods: int, make: Callable[[Column, Column, str], Column]) -> Frame:
     """make(value, value `periods` rows before, name) for each column."""
 
@@ -202,9 +281,6 @@ def rank(f: Frame, name: str, method: str = "average", ascending: bool = True) -
         rest = f.df.filter(q(name).isNull()).withColumn(name, F.lit(None).cast("double"))
         return f._with(df.select(*map(q, f.df.columns)).unionByName(rest.select(*map(q, f.df.columns))))
     counts = f.df.filter(q(name).isNotNull()).groupBy(value.alias("__v")).agg(F.count(F.lit(1)).alias("__k"))
-    from loomframe.operators.frame import Key
-    from loomframe.plans.order import with_position
-
     placed = running(with_position(counts, (Key("__v", ascending),)), {"__upto": (F.col("__k").cast("double"), "sum")})
     n = F.col("__k").cast("double")
     r = {"average": F.col("__upto") - (n - 1) / 2, "min": F.col("__upto") - n + 1, "max": F.col("__upto"), "dense": (F.col(POS) + 1).cast("double")}[method]

@@ -17,6 +17,7 @@ from loomframe.functions import categorical, dtypes
 from loomframe.operators import frame
 from loomframe.operators import index as labels
 from loomframe.operators import merge as joins
+from loomframe.operators import window
 from loomframe.operators.concat import concat
 from loomframe.operators.frame import Frame, Key
 from loomframe.operators.groupby import group_count, group_size
@@ -545,6 +546,30 @@ def test_joins_of_keys_that_do_not_repeat_are_left_alone(spark, monkeypatch):
     assert "Repartition" not in merge(f, f, on="k").df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("kind", ["mixed", "rising", "falling", "equal", "late"])
+def test_running_medians_in_blocks(spark, kind):
+    import random
+    import statistics
+
+    rnd = random.Random(3)
+    make = {"mixed": lambda i: rnd.choice([None, 1.0, rnd.random()]), "rising": float, "falling": lambda i: -float(i), "equal": lambda i: 2.0, "late": lambda i: None if i < 70 else float(i % 7)}[kind]
+    values = [make(i) for i in range(200)]
+    df = spark.createDataFrame([(i, v, float(i % 9)) for i, v in enumerate(values)], f"{order.POS} long, x double, y double")
+    for block in (16, 60):
+        out = window.running_medians(df, {"mx": F.col("x"), "my": F.col("y")}, 2, block)
+        got = {r[order.POS]: r for r in out.collect()}
+        for i in range(200):
+            for name, have in (("mx", values[: i + 1]), ("my", [float(j % 9) for j in range(i + 1)])):
+                there = [v for v in have if v is not None]
+                assert got[i][name] == (statistics.median(there) if len(there) >= 2 else None), (block, i)
+
+
+def test_running_medians_gather_no_window(spark):
+    f = Frame.of(spark.range(50).select("id", (F.col("id") % 7).cast("double").alias("x")), "id")
+    plan = f.select("x").col("x").expanding().median().df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_series_of_a_frame_before_columns_were_added_need_no_join(spark):
     f = Frame.of(spark.range(5).select("id", (F.col("id") * 2).alias("a")), "id")
     g = f.assign("s", f.col("a").add(1)).assign("d", f.col("a").mul(f.col("id")))
